@@ -1,4 +1,7 @@
 """All queries of the engine's own operators, and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import detectors, population
+
+_MODULES = (population, detectors)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
