@@ -111,10 +111,10 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows of one id share the copies of their id."""
-    n = copies(docs, id_col, text_col, source_col).groupBy("_id").agg(F.sum("n").alias("_n"), F.count("*").alias("_rows"))
-    both = docs.join(n, F.col(id_col).eqNullSafe(F.col("_id")))
-    share = F.when(F.col("_rows") == 1, F.col("_n")).otherwise(F.round(F.col("_n") / F.col("_rows"))).cast("int")
-    return both.withColumn("_i", F.explode(F.array_repeat(F.lit(1), share))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    n = copies(docs, id_col, text_col, source_col).groupBy("_id").agg(F.sum("n").alias("__mix_n"), F.count("*").alias("__mix_rows")).withColumnRenamed("_id", "__mix_id")
+    both = docs.join(n, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id")))
+    share = F.when(F.col("__mix_rows") == 1, F.col("__mix_n")).otherwise(F.round(F.col("__mix_n") / F.col("__mix_rows"))).cast("int")
+    return both.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), share))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

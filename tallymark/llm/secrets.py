@@ -86,25 +86,25 @@ def is_random(text: Column) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with arrays ``out`` (all) and ``out``_base of structs (start, kind, end), sorted."""
-    text = F.col("_text")
+    text = F.col("__sp_text")
     none = F.expr("cast(array() as array<string>)")
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    df = docs.withColumn("__sp_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     for name, pattern, hint in (("assign", ASSIGN, text.rlike(ASSIGN)), ("access", ACCESS, text.contains("AKIA") & text.rlike(ACCESS)), ("hex", HEX, text.rlike(HEX)), ("cand", CANDIDATE, text.rlike(CANDIDATE))):
-        df = df.withColumn(f"_has_{name}", hint)
-        df = df.withColumn(f"_m_{name}", F.when(F.col(f"_has_{name}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-        df = df.withColumn(f"_g_{name}", F.when(F.col(f"_has_{name}"), F.split(text, pattern, -1)).otherwise(none))
-    df = df.withColumn("_v", F.when(F.col("_has_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none))
+        df = df.withColumn(f"__sp_has_{name}", hint)
+        df = df.withColumn(f"__sp_m_{name}", F.when(F.col(f"__sp_has_{name}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+        df = df.withColumn(f"__sp_g_{name}", F.when(F.col(f"__sp_has_{name}"), F.split(text, pattern, -1)).otherwise(none))
+    df = df.withColumn("__sp_v", F.when(F.col("__sp_has_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.concat(
-        _spans(F.col("_m_assign"), F.col("_g_assign"), 0, lambda i: F.length(F.col("_v")[i]) >= 6),
-        _spans(F.col("_m_access"), F.col("_g_access"), 1),
-        _spans(F.col("_m_hex"), F.col("_g_hex"), 2),
+        _spans(F.col("__sp_m_assign"), F.col("__sp_g_assign"), 0, lambda i: F.length(F.col("__sp_v")[i]) >= 6),
+        _spans(F.col("__sp_m_access"), F.col("__sp_g_access"), 1),
+        _spans(F.col("__sp_m_hex"), F.col("__sp_g_hex"), 2),
     )
-    df = df.withColumn("_base", F.array_sort(bare(base)))
-    extra = bare(_spans(F.col("_m_cand"), F.col("_g_cand"), 3, lambda i: is_random(F.col("_m_cand")[i])))
-    df = df.withColumn("_extra", F.filter(extra, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    df = df.withColumn("__sp_base", F.array_sort(bare(base)))
+    extra = bare(_spans(F.col("__sp_m_cand"), F.col("__sp_g_cand"), 3, lambda i: is_random(F.col("__sp_m_cand")[i])))
+    df = df.withColumn("__sp_extra", F.filter(extra, lambda s: ~F.exists("__sp_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     keep = [c for c in docs.columns if c not in (out, f"{out}_base")]
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col("_base").alias(f"{out}_base"), F.array_sort(F.concat("_base", "_extra")).alias(out))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col("__sp_base").alias(f"{out}_base"), F.array_sort(F.concat("__sp_base", "__sp_extra")).alias(out))
 
 
 def _joined(spans: str) -> Column:
@@ -114,14 +114,14 @@ def _joined(spans: str) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by mark; null texts stay null."""
-    df = with_spans(docs, text_col, "_found")
+    df = with_spans(docs, text_col, "__sp_found")
     text = F.col(text_col)
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
-    done = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("_found") > 0, done).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    done = F.aggregate("__sp_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return df.withColumn(text_col, F.when(F.size("__sp_found") > 0, done).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
