@@ -66,13 +66,14 @@ _NAMES = (
 
 
 class Node:
-    __slots__ = ("tag", "kind", "parent", "children", "text", "chars", "linked")
+    __slots__ = ("tag", "kind", "parent", "children", "text", "chars", "linked", "under")
 
     def __init__(self, tag: str, kind: str, parent: Node | None):
         self.tag, self.kind, self.parent = tag, kind, parent
         self.children: list[Node] = []
         self.text: str | None = None  # of runs of text
         self.chars = self.linked = 0
+        self.under = "-"  # what the nearest ancestors' names or tags speak of, this node included
 
 
 def _kind(attrs: str) -> str:
@@ -114,7 +115,7 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:  # an end tag closes up to the nearest open element of its name, past inline ones only
             x = now
-            while x is not root and x.tag != tag:
+            while x is not root and x.tag != tag and not (tag in HEADS and x.tag in HEADS):
                 if tag in INLINE and x.tag not in INLINE:
                     x = root
                     break
@@ -157,6 +158,9 @@ def flat(root: Node) -> list[Node]:
         x = stack.pop()
         out.append(x)
         stack.extend(reversed(x.children))
+        own = x.kind if x.kind != "-" else _SPEAKS.get(x.tag, "-")
+        above = x.parent.under if x.parent is not None else "-"
+        x.under = own if own not in ("-", "main") else above if above != "-" else own
     for x in reversed(out):
         if x.text is not None:
             x.chars = len(x.text.strip())
@@ -176,8 +180,12 @@ def features(x: Node) -> tuple[str, ...]:
     size = min(6, int(math.log2(x.chars + 1)) // 2)
     density = 0 if not x.chars else 1 + min(3, int(4 * x.linked / x.chars))
     if x.tag == "#text":
-        return (f"text:{size}",)
-    return (f"tag:{group}", f"kind:{x.kind}", f"size:{size}", f"links:{density}")
+        return (f"text:{size}", f"in:{_TAG_GROUP.get(x.parent.tag, 'other')}", f"under:{x.under}")
+    return (f"tag:{group}", f"kind:{x.kind}", f"size:{size}", f"links:{density}", f"under:{x.under}")
+
+
+#: tags that speak as names do
+_SPEAKS = {"nav": "nav", "menu": "nav", "aside": "side", "footer": "foot", "header": "head", "form": "form", "button": "form", "label": "form", "article": "main", "main": "main"}
 
 
 class TreeModel:
