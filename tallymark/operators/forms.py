@@ -80,32 +80,33 @@ def windows(spots: DataFrame, key: str, reach: int = 500) -> DataFrame:
     return x.groupBy(key, "_i").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.count("*").alias("n")).drop("_i")
 
 
-def _hits(text: Column, words) -> Column:
-    return sum((F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
+def _hits(low: Column, words) -> Column:
+    """How many of words occur. One expression over an array, so that generated code stays small."""
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
 
 
-def candidates(text: Column, lists: dict, base: float, step: float, most: float) -> Column:
-    """Names with a hit, as name:confidence in order of name."""
+def candidates(low: Column, lists: dict, base: float, step: float, most: float) -> Column:
+    """Names with a hit in a lower-case text, as name:confidence in order of name."""
     out = []
     for name, words in sorted(lists.items()):
-        n = _hits(text, words)
+        n = _hits(low, words)
         out.append(F.when(n > 0, F.concat(F.lit(name + ":"), F.format_string("%.2f", F.least(F.lit(most), base + step * n)))))
     return F.array_compact(F.array(*out))
 
 
-def domains(text: Column) -> Column:
-    return candidates(text, DOMAINS, 0.35, 0.15, 0.95)
+def domains(low: Column) -> Column:
+    return candidates(low, DOMAINS, 0.35, 0.15, 0.95)
 
 
-def stages(text: Column) -> Column:
-    return candidates(text, STAGES, 0.45, 0.15, 0.9)
+def stages(low: Column) -> Column:
+    return candidates(low, STAGES, 0.45, 0.15, 0.9)
 
 
-def workflows(text: Column) -> Column:
-    """By groups of words that must all occur."""
-    low, out = F.lower(text), []
+def workflows(low: Column) -> Column:
+    """By groups of words that must all occur in a lower-case text."""
+    out = []
     for name, groups in sorted(WORKFLOWS.items()):
-        n = sum((reduce(lambda a, b: a & b, (low.contains(w) for w in g)).cast("int") for g in groups), F.lit(0))
+        n = F.size(F.filter(F.array(*(F.array(*map(F.lit, g)) for g in groups)), lambda g: F.forall(g, lambda w: low.contains(w))))
         out.append(F.when(n > 0, F.concat(F.lit(name + ":"), F.format_string("%.2f", F.least(F.lit(0.95), 0.65 + 0.1 * n)))))
     return F.array_compact(F.array(*out))
 
@@ -142,11 +143,11 @@ def form_name(text: Column) -> Column:
 
 def forms(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """A form record for each text: what was found, its confidence (0 to 6), review status and flags."""
-    t = F.col(text_col)
+    t, low = F.col("__text"), F.col("__low")
     url = F.regexp_extract(t, URL, 0)
-    x = texts.select(
-        key, F.nullif(F.regexp_replace(url, r"[).,;:]+$", ""), F.lit("")).alias("url"), form_name(t).alias("form_name"), workflows(t).alias("workflows"), named(t, AGENCIES).alias("agencies"),
-        domains(t).alias("domains"), stages(t).alias("stages"), named(t, JURISDICTIONS).alias("jurisdictions"), deadline(t).alias("d"), method(t).alias("method"))
+    x = texts.select(key, F.col(text_col).alias("__text"), F.lower(text_col).alias("__low")).select(
+        key, F.nullif(F.regexp_replace(url, r"[).,;:]+$", ""), F.lit("")).alias("url"), form_name(t).alias("form_name"), workflows(low).alias("workflows"), named(t, AGENCIES).alias("agencies"),
+        domains(low).alias("domains"), stages(low).alias("stages"), named(t, JURISDICTIONS).alias("jurisdictions"), deadline(t).alias("d"), method(t).alias("method"))
     has = lambda c: c.cast("double")
     score = has(F.col("url").isNotNull()) + has(F.size("workflows") > 0) + has(F.size("agencies") > 0) + has(F.size("domains") > 0) + has(F.col("form_name").isNotNull()) + 0.5 * has(F.col("d.days").isNotNull()) + 0.5 * has(F.size("stages") > 0)
     x = x.withColumn("confidence", F.least(score, F.lit(6.0)))
