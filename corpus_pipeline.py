@@ -23,9 +23,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Shingles are of five words."""
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: that with the smallest id, once. Shingles are of five words.
+    Documents without an id belong to no group and stay."""
+    keep = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
