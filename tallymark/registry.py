@@ -1,7 +1,7 @@
 """All queries of the engine's own operators, and the SQL each is checked against."""
 
-from .queries import detectors, governance, models, population
+from .queries import detectors, governance, intake, models, population
 
-_MODULES = (population, detectors, models, governance)
+_MODULES = (population, detectors, models, governance, intake)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
