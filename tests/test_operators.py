@@ -253,3 +253,24 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     assert spark.read.parquet(ledger).count() == rows.select("stream_id", "identity_hash").distinct().count()
 
 
+
+
+def test_write_once_is_idempotent_or_conflicts(spark, tmp_path):
+    from tallymark.operators import intake
+
+    path = (tmp_path / "run").as_uri()
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, digest string")
+    assert intake.write_once(df, path, "digest") == "written"
+    assert intake.write_once(df.orderBy(F.desc("id")), path, "digest") == "unchanged"
+    with pytest.raises(ValueError):
+        intake.write_once(df.limit(1), path, "digest")
+
+
+def test_envelope_defaults_and_reasons(spark):
+    from tallymark.operators import intake
+
+    rows = spark.createDataFrame([(None, None, " ", "WA"), ("x", 7.0, "r", None), ("", 0.5, None, None)], "channel string, confidence double, region string, jurisdiction_id string")
+    got = intake.envelope(rows).collect()
+    assert [(r.channel, r.confidence, r.region, r.jurisdiction_id) for r in got] == [("external", 0.75, "WA", "WA"), ("x", 1.0, "r", "r"), ("external", 0.5, "unknown", "unknown")]
+    why = spark.createDataFrame([("s", 1), (" ", 1), ("s", None)], "stream_id string, offset long").select(intake.invalid_reason(["stream_id", "offset"]).alias("w")).collect()
+    assert [r.w for r in why] == [None, "missing_stream_id", "missing_offset"]
