@@ -37,6 +37,7 @@ STAGES = {
 }
 JURISDICTIONS = {"CA": r"(?i:\bcalifornia\b)|\bCA\b", "NY": r"(?i:\bnew york\b)|\bNY\b", "TX": r"(?i:\btexas\b)|\bTX\b", "FL": r"(?i:\bflorida\b)|\bFL\b", "WA": r"(?i:\bwashington\b)|\bWA\b", "Federal": r"(?i:\bfederal\b|\bunited states\b|\bcongress\b)|\bU\.?S\b"}
 AGENCIES = {"EEOC": r"(?i)\bEEOC\b|Equal Employment Opportunity Commission", "CFPB": r"(?i)\bCFPB\b|Consumer Financial Protection Bureau|Bureau of Consumer Financial Protection"}
+# Patterns of deadlines, addresses on the web and telephone numbers.
 _UNIT = r"(\d+)\s+(business\s+days?|days?|weeks?|months?|years?)\b"
 DEADLINES = (
     rf"within\s+{_UNIT}",

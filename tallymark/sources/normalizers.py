@@ -103,6 +103,7 @@ def _id(prefix: str, *paths: str, fallback: tuple[str, ...] = ()):
     return lambda: external_id(prefix, list(paths), list(fallback))
 
 
+# The sources' field names, signal types, thresholds, channels and identifiers' prefixes.
 SOURCES: dict[str, Source] = {
     "cfpb_complaints": Source("cfpb", "cfpb_complaints_database", _fixed("consumer_complaint"), ("date_received", "created_date"), _id("cfpb", "complaint_id", "_id", "id"), lambda: state_region(first("state"), lower=True), None,
         {"company": _text("company", default="Unknown"), "product": _text("product"), "issue": _text("issue"), "timely": lambda: F.coalesce(first("timely") == "Yes", F.lit(False)).cast("string"), "narrative": _text("complaint_what_happened", cut=2000)}, ("complaint_id", "_id", "id")),
