@@ -8,7 +8,7 @@
    in sorted order are its nearest predecessors, up to ``WINDOW``, as long as at least ``LEAST``
    values are shared. Thin regions are thereby searched down to the shortest prefix, dense ones only
    along long prefixes: the depth follows the density. Candidates whose signatures cannot belong to
-   linked sets (more than six deviations off) are left.
+   linked sets (more than DEVIATIONS off) are left.
 3. Candidates are confirmed on full sets, and confirmed links joined into components.
 
 It runs twice. The first pass uses few trees and only the nearest candidate of each row; it collapses
@@ -40,8 +40,10 @@ from .common import shipped, stored, table
 
 TREES, DEPTH, LEAST = 20, 6, 3
 WINDOW = 48
-EXTRA = 64  #: signature values that no tree uses; one byte of each is kept for estimates
+EXTRA = 128  #: signature values that no tree uses; one byte of each is kept for estimates
 FIRST_TREES = 4
+DEVIATIONS = 5.5  #: how far below its expectation a linked pair's estimate may be
+MOST_BITS = 1 << 27  #: of the bitmap that tells candidates' texts from others before they are shuffled
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _MULT = (np.random.default_rng(20240229).integers(1, 2**32, TREES * DEPTH + EXTRA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = np.random.default_rng(7).integers(0, 2**62, TREES * DEPTH + EXTRA, dtype=np.uint64)
@@ -117,7 +119,7 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
         "id", "n_shingles", "comp", "extra",
         F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(trees)))).alias("tree", "order"),
     )
-    least = EXTRA * share - 6 * (EXTRA * share * (1 - share)) ** 0.5
+    least = EXTRA * share - DEVIATIONS * (EXTRA * share * (1 - share)) ** 0.5
     ratio = share - 1e-9
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +160,33 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
     return dealt.sortWithinPartitions("tree", "order", "id").mapInArrow(scan, PAIRS).dropDuplicates(["a", "b"])
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not in ids, by a bitmap of hashed ids: it is broadcast,
+    and never larger than MOST_BITS. What it lets through has still to be joined."""
+    bits = 1 << 16
+    wanted = 8 * ids.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    own = ids.select(F.bitmap_bucket_number(at).alias("__bucket"), F.bitmap_bit_position(at).alias("p")).groupBy("__bucket").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    is_set = F.expr("shiftright(b, cast(p % 8 as int)) & 1 = 1")
+    kept = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(own), "__bucket")
+    return kept.withColumn("b", byte).withColumn("p", place).where(is_set).select(*rows.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     shipped(docs.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = among(texts, ends).join(ends, "id", "left_semi").dropDuplicates(["id"])
     have = stored(texts.mapInArrow(sets, "id long, set binary"), "sets")
     both = pairs.join(have.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
