@@ -7,8 +7,10 @@
    MinHash values of their own. A row's candidates are those with the longest common prefixes, which
    in sorted order are its nearest predecessors, up to ``WINDOW``, as long as at least ``LEAST``
    values are shared. Thin regions are thereby searched down to the shortest prefix, dense ones only
-   along long prefixes: the depth follows the density. Candidates whose signatures cannot belong to
-   linked sets (more than DEVIATIONS off) are left.
+   along long prefixes: the depth follows the density. Candidates that cannot be linked are left out by
+   a summary of their sets: for sets up to SMALL the parity of how many shingles fall on each of 1,024
+   places (two sets differ in at least as many shingles as places, so no link is lost), for larger sets
+   MinHash values (a link is more than DEVIATIONS off with probability below 1e-6).
 3. Candidates are confirmed on full sets, and confirmed links joined into components.
 
 It runs twice. The first pass uses few trees and only the nearest candidate of each row; it collapses
@@ -39,8 +41,9 @@ from pyspark.sql import functions as F
 from .common import shipped, stored, table
 
 TREES, DEPTH, LEAST = 20, 6, 3
-WINDOW = 48
-EXTRA = 128  #: signature values that no tree uses; one byte of each is kept for estimates
+WINDOW = 96
+EXTRA = 128  #: bytes of a set's summary, by which candidates are sifted
+SMALL = 1500  #: sets up to this size are summarised by parities, larger ones by MinHash values
 FIRST_TREES = 4
 DEVIATIONS = 5.5  #: how far below its expectation a linked pair's estimate may be
 MOST_BITS = 1 << 27  #: of the bitmap that tells candidates' texts from others before they are shuffled
@@ -77,17 +80,28 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def signature(h: np.ndarray) -> np.ndarray:
-    """MinHash values (uint32) of a set of hashes, for the trees and then for estimates."""
-    best = np.full(len(_MULT), np.iinfo(np.uint64).max, np.uint64)
+def signature(h: np.ndarray, values: int) -> np.ndarray:
+    """The first ``values`` MinHash values (uint32) of a set of hashes."""
+    best = np.full(values, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), _CHUNK):
-            v = h[at : at + _CHUNK, None] * _MULT[None, :]
-            v += _ADD
+            v = h[at : at + _CHUNK, None] * _MULT[None, :values]
+            v += _ADD[:values]
             np.minimum(best, v.min(axis=0), out=best)
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def summary(h: np.ndarray) -> tuple[bytes, bytes]:
+    """The values for the trees, and EXTRA bytes to sift by."""
+    small = len(h) <= SMALL
+    s = signature(h, TREES * DEPTH + (0 if small else EXTRA))
+    trees = s[: TREES * DEPTH].astype(">u4").tobytes()
+    if small:
+        odd = np.bincount((h & np.uint64(8 * EXTRA - 1)).astype(np.int64), minlength=8 * EXTRA) & 1
+        return trees, np.packbits(odd.astype(np.uint8)).tobytes()
+    return trees, s[TREES * DEPTH :].astype(np.uint8).tobytes()
+
+
 SKETCH = "id long, n_shingles long, set_hash binary, trees binary, extra binary"
 
 
@@ -99,11 +113,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             sizes, digests, trees, extras = [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), k)
-                s = signature(h)
+                tree, extra = summary(h)
                 sizes.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                trees.append(s[: TREES * DEPTH].astype(">u4").tobytes())
-                extras.append(s[TREES * DEPTH :].astype(np.uint8).tobytes())
+                trees.append(tree)
+                extras.append(extra)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, trees, extras))], ["id", "n_shingles", "set_hash", "trees", "extra"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
@@ -147,7 +161,13 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
                     break
                 lo, hi = np.minimum(sizes[at], sizes[at - step]), np.maximum(sizes[at], sizes[at - step])
                 at = at[(lo >= ratio * hi) & (comps[at] != comps[at - step]) & (left[at] > 0)]
-                at = at[(extra[at] == extra[at - step]).sum(axis=1) >= least]
+                a, b = extra[at], extra[at - step]
+                n, big = sizes[at] + sizes[at - step], np.maximum(sizes[at], sizes[at - step]) > SMALL
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                alike = (a == b).sum(axis=1)
+                mixed = np.minimum(sizes[at], sizes[at - step]) <= SMALL
+                # |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s) where the similarity is s or more
+                at = at[np.where(big, mixed | (alike >= least), apart <= n * (1 - share) / (1 + share) + 1e-6)]
                 left[at] -= 1
                 found_a.append(np.minimum(ids[at], ids[at - step]))
                 found_b.append(np.maximum(ids[at], ids[at - step]))
