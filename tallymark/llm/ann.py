@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import scratch, shipped, table
 
-PROJECTIONS, MIN_SHARE, GROWTH, SURE = 48, 0.6, 1.4, 0.985
+PROJECTIONS, MIN_SHARE, GROWTH, SURE = 24, 0.6, 1.5, 0.97
 BLOCK = 16_384
-START = 0.08  #: half of the first windows, for vectors of length 1
+START = 0.12  #: half of the first windows, for vectors of length 1
 K, EVERY = 5, 50
+HALVES = np.append(START * GROWTH ** np.arange(12), np.inf)  #: of the windows
 
 
 def _tail(p: float, m: int, least: int) -> float:
@@ -62,14 +63,20 @@ class CollisionIndex:
         norm = math.sqrt(float((q * q).sum()))
         at = (q / norm) @ self.a
         n, m = self.sorted.shape[1], self.m
-        lo = hi = np.array([np.searchsorted(row, v) for row, v in zip(self.sorted, at)])
+        # all windows' ends at once; the last window holds everything
+        ends = np.concatenate([HALVES, -HALVES])
+        spans = np.array([np.searchsorted(row, v + ends) for row, v in zip(self.sorted, at)])
+        his, los = spans[:, : len(HALVES)], spans[:, len(HALVES) :]
+        lo = hi = los[:, 0]
         counts = np.zeros(n, np.int16)
         fresh = self.ids != own
-        best_i, best_s, half = np.zeros(0, np.int64), np.zeros(0), START
-        while True:
-            new_lo = np.array([np.searchsorted(row, v - half, "left") for row, v in zip(self.sorted, at)])
-            new_hi = np.array([np.searchsorted(row, v + half, "right") for row, v in zip(self.sorted, at)])
+        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
+        for level, half in enumerate(HALVES):
+            new_lo, new_hi = los[:, level], his[:, level]
             for order, a, b, c, d in zip(self.order, new_lo.tolist(), lo.tolist(), hi.tolist(), new_hi.tolist()):
+                if level == 0:
+                    counts[order[a:d]] += 1
+                    continue
                 if a < b:
                     counts[order[a:b]] += 1
                 if c < d:
@@ -86,12 +93,9 @@ class CollisionIndex:
                 break
             if len(best_i) == k:
                 far = math.sqrt(max(0.0, 2 - 2 * float(best_s[-1])))  # distance of the k-th on the sphere
-                p = math.erf(half / far / math.sqrt(2)) if far > 0 else 1.0
+                p = math.erf(float(half) / far / math.sqrt(2)) if far > 0 else 1.0
                 if _tail(p, m, self.least) >= SURE:
                     break
-            if (hi - lo == n).all():
-                break
-            half *= GROWTH
         return self.ids[best_i], best_s
 
 
