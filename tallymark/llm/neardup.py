@@ -13,13 +13,15 @@
    MinHash values (a link is more than DEVIATIONS off with probability below 1e-6).
 3. Candidates are confirmed on full sets, and confirmed links joined into components.
 
-It runs twice. The first pass uses few trees and only the nearest candidate of each row; it collapses
+4. Regions of more than WINDOW other rows that hold more than one component are searched on by
+   ``crowded_pairs``: an exact prefix filter over the full sets of their rows, without a cap.
+
+Steps 2 and 3 run twice. The first pass uses few trees and only the nearest candidate of each row; it collapses
 dense groups into components. The second uses all trees and skips pairs that are already joined, so a
 group of thousands emits its spanning links and not its pairs.
 
 A pair of similarity 0.8 shares LEAST = 3 values in one of 20 trees except with probability
-(1 - 0.8**3)**20 = 6e-7; only in regions of more than WINDOW unjoined rows does a pair need longer
-prefixes. No step collects rows, links or components to the driver.
+(1 - 0.8**3)**20 = 6e-7, and of the rows that do each pair is either within a WINDOW or searched on. No step collects rows, links or components to the driver.
 
 Defined results: null texts and texts without words have an empty set and no links; with fewer words
 than a shingle has, the whole sequence is the one shingle; repeated rows are kept as rows of
@@ -45,6 +47,8 @@ WINDOW = 96
 EXTRA = 128  #: bytes of a set's summary, by which candidates are sifted
 SMALL = 1500  #: sets up to this size are summarised by parities, larger ones by MinHash values
 FIRST_TREES = 4
+RARITY = 1 << 20  #: places of the table of counts that orders shingles by how rare they are
+CELL = 4096  #: rows of one shingle that are compared in one piece
 DEVIATIONS = 5.5  #: how far below its expectation a linked pair's estimate may be
 MOST_BITS = 1 << 27  #: of the bitmap that tells candidates' texts from others before they are shuffled
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -126,6 +130,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 PAIRS = "a long, b long"
 
 
+def linkable(na, nb, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs of sets, by their sizes and summaries, may be linked."""
+    least = EXTRA * share - DEVIATIONS * (EXTRA * share * (1 - share)) ** 0.5
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    alike = (a == b).sum(axis=1)
+    mixed = np.minimum(na, nb) <= SMALL
+    # |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s) where the similarity is s or more
+    return np.where(np.maximum(na, nb) > SMALL, mixed | (alike >= least), apart <= (na + nb) * (1 - share) / (1 + share) + 1e-6)
+
+
 def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> DataFrame:
     """Candidate pairs. classes: id, n_shingles, comp, trees, extra. nearest: how many candidates a
     row keeps of a tree (0: all of its window)."""
@@ -133,7 +147,6 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
         "id", "n_shingles", "comp", "extra",
         F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(trees)))).alias("tree", "order"),
     )
-    least = EXTRA * share - DEVIATIONS * (EXTRA * share * (1 - share)) ** 0.5
     ratio = share - 1e-9
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +174,7 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
                     break
                 lo, hi = np.minimum(sizes[at], sizes[at - step]), np.maximum(sizes[at], sizes[at - step])
                 at = at[(lo >= ratio * hi) & (comps[at] != comps[at - step]) & (left[at] > 0)]
-                a, b = extra[at], extra[at - step]
-                n, big = sizes[at] + sizes[at - step], np.maximum(sizes[at], sizes[at - step]) > SMALL
-                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-                alike = (a == b).sum(axis=1)
-                mixed = np.minimum(sizes[at], sizes[at - step]) <= SMALL
-                # |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s) where the similarity is s or more
-                at = at[np.where(big, mixed | (alike >= least), apart <= n * (1 - share) / (1 + share) + 1e-6)]
+                at = at[linkable(sizes[at], sizes[at - step], extra[at], extra[at - step], share)]
                 left[at] -= 1
                 found_a.append(np.minimum(ids[at], ids[at - step]))
                 found_b.append(np.maximum(ids[at], ids[at - step]))
@@ -196,18 +203,23 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return kept.withColumn("b", byte).withColumn("p", place).where(is_set).select(*rows.columns)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, set: the sorted shingle hashes of each id of ids."""
     shipped(docs.sparkSession)
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), k).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = among(texts, ends).join(ends, "id", "left_semi").dropDuplicates(["id"])
-    have = stored(texts.mapInArrow(sets, "id long, set binary"), "sets")
+    texts = among(texts, ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return stored(texts.mapInArrow(sets, "id long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    have = full_sets(ends, docs, id_col, text_col, k)
     both = pairs.join(have.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +234,110 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, PAIRS)
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """id of the rows in regions that windows do not cover: of more than WINDOW other rows, not all of
+    one component. classes: id, comp, trees."""
+    place = F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * LEAST) for t in range(TREES)))).alias("tree", "region")
+    rows = classes.select("id", "comp", place)
+    full = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    full = stored(full.where((F.col("n") > WINDOW + 1) & (F.col("lo") < F.col("hi"))).select("tree", "region"), "crowded")
+    return stored(rows.join(full, ["tree", "region"], "left_semi").select("id").distinct(), "crowd")
+
+
+def crowded_pairs(classes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """All pairs of rows of sets in different components that may be linked. classes: id, n_shingles,
+    comp, extra; sets: id, set.
+
+    In any one order of all shingles, linked sets share one of their first n - ceil(share * n) + 1.
+    The order is by a table of counts, rare ones first; the table only decides what is cheap. Rows of a
+    shingle are dealt to cells of pairs of blocks, so none meets in one task as a whole."""
+    ratio = share - 1e-9
+    spot = lambda h: (h & np.uint64(RARITY - 1)).astype(np.int64)
+
+    def first(n: int) -> int:
+        return n - int(np.ceil(ratio * n)) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, spot(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    # at most RARITY rows, whatever the input
+    counts = sets.select("set").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table_ = np.zeros(RARITY, np.int64)
+    table_[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table_)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                h = np.frombuffer(batch.column(4)[r].as_buffer(), np.uint64)
+                f = often[spot(h)]
+                order = np.lexsort((h, f))[: first(len(h))]
+                pos = np.arange(len(order))
+                some = f[order] > 1  # others have no partner
+                order, pos = order[some], pos[some]
+                blocks = -(-f[order] // CELL)
+                reps = np.repeat(np.arange(len(order)), blocks)
+                other = np.arange(len(reps)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                salt = int(_mix(np.array([batch.column(0)[r].as_py() & (2**63 - 1)], np.uint64))[0] >> np.uint64(1))
+                own = salt % blocks[reps]
+                n = len(reps)
+                fixed = [pa.repeat(batch.column(c)[r], n) for c in range(4)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[order][reps].view(np.int64)), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), pa.array(pos[reps]), *fixed],
+                    ["h", "lo", "hi", "own", "pos", "id", "n", "comp", "extra"])
+
+    def pairs(cell) -> Iterator[pa.RecordBatch]:
+        """cell: lo, hi, own, pos, id, n, comp, extra of one cell, by comp."""
+        lo, hi, own, pos, ids, sizes, comps, extra = cell
+        right = np.arange(len(ids)) if lo == hi else np.flatnonzero(own == hi)
+        for a in np.arange(len(ids)) if lo == hi else np.flatnonzero(own == lo):
+            b = right[np.searchsorted(comps, comps[a], "right") :] if lo == hi else right[comps[right] != comps[a]]
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            most = 1 + np.minimum(pos[a], pos[b]) + np.minimum(sizes[a] - pos[a] - 1, sizes[b] - pos[b] - 1)
+            b = b[(small >= ratio * large) & (most >= ratio / (1 + ratio) * (sizes[a] + sizes[b]) - 1e-6)]
+            b = b[linkable(sizes[a], sizes[b], extra[a][None, :], extra[b], share)] if len(b) else b
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # batches of the cell that is not yet complete
+
+        def done(rows: pa.Table):
+            if rows.num_rows > 1:
+                own, pos, ids, sizes, comps = (rows.column(c).to_numpy() for c in ("own", "pos", "id", "n", "comp"))
+                extra = np.frombuffer(b"".join(rows.column("extra").to_pylist()), np.uint8).reshape(-1, EXTRA)
+                yield from pairs((rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py(), own, pos, ids, sizes, comps, extra))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if held and tuple(keys[0]) != last:
+                yield from done(pa.Table.from_batches(held))
+                held = []
+            starts = [0, *cuts.tolist(), batch.num_rows]
+            for x, y in zip(starts, starts[1:]):
+                if y - x > 1 or held or y == batch.num_rows:
+                    held.append(batch.slice(x, y - x))
+                if y < batch.num_rows and held:
+                    yield from done(pa.Table.from_batches(held))
+                    held = []
+            last = tuple(keys[-1])
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    rows = sets.join(classes, "id").select("id", F.col("n_shingles").alias("n"), "comp", "extra", "set")
+    dealt = rows.mapInArrow(deal, "h long, lo long, hi long, own long, pos long, id long, n long, comp long, extra binary").repartition("h", "lo", "hi")
+    return dealt.sortWithinPartitions("h", "lo", "hi", "comp", "id").mapInArrow(scan, PAIRS).dropDuplicates(["a", "b"])
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """id, comp (the smallest id reachable) of every id in links (a, b), by alternating large and
     small stars. A hub's neighbours are only ever aggregated and joined, never gathered."""
@@ -260,7 +376,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = stored(components(links), "comps")
     now = classes.drop("comp").join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     more = confirmed(stored(neighbours(now, TREES, 0, percent / 100), "near"), docs, id_col, text_col, k, percent)
-    comps = stored(components(links.union(more)), "comps")
+    links = stored(links.union(more), "links")
+    comps = stored(components(links), "comps")
+    now = classes.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    crowd = crowded(now)
+    if not crowd.isEmpty():
+        found = stored(crowded_pairs(now, full_sets(crowd, docs, id_col, text_col, k), percent / 100), "near")
+        comps = stored(components(links.union(confirmed(found, docs, id_col, text_col, k, percent))), "comps")
     of_set = first.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     return (
         sketches.select("id", "n_shingles", "set_hash").join(of_set, "set_hash", "left")

@@ -146,6 +146,18 @@ def test_near_copies_of_one_text_are_one_group(spark):
     assert {x.component_id for x in got} == {0} and sum(x.kept for x in got) == 1
 
 
+def test_links_within_a_crowded_template_are_found(spark, monkeypatch):
+    """Members of a template are 0.786 alike, pairs of them 0.802: they are far apart in every order."""
+    form, half = " ".join(f"t{i}" for i in range(88)), 250
+    own = [" ".join(f"o{i}x{j}" for j in range(11)) for i in range(2 * half)]
+    texts = [f"{form} {own[i]} p{i % half if i % half < 40 else i}" for i in range(2 * half)]
+    want = {i: i - half if i >= half and i - half < 40 else i for i in range(2 * half)}
+    for cell in (200,):
+        monkeypatch.setattr(neardup, "CELL", cell)
+        got = neardup.near_duplicates(docs(spark, texts), k=1).collect()
+        assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_repeated_rows_are_of_one_component(spark):
     d = docs(spark, ["a b c d e f g", "q r s t u v w"])
     got = neardup.near_duplicates(d.unionAll(d)).collect()
