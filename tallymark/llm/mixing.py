@@ -11,7 +11,7 @@ Rates become copies by systematic rounding along sizes within each source: the c
 documents differ from the sum of its rates by less than one. What then is missing to the target is
 mended by one more or one less copy of the document whose size is nearest to it.
 
-No group is gathered: ranks within one size are taken in blocks of about BLOCK documents, hashed by id.
+No group is gathered: ranks within one size are taken in blocks of about BLOCK documents, hashed by id, or by text and source where that is null.
 
 Defined results: null texts have size 0; documents of size 0 are taken with 0 words; the null source is
 a source, last; repeated rows are documents of their own; an empty table gives no rows; a corpus without
@@ -77,9 +77,13 @@ def multipliers(histogram: DataFrame, targets: DataFrame, iterations: int = ITER
     return now.select("source", "scale", "target", "m")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """_id, size, source, source_size, target, rate, n: how often the mix takes each row of docs."""
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size_words(F.col(text_col).cast("string")).alias("size")), "sizes")
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """_id, size, source, source_size, target, rate, n: how often the mix takes each row of docs; and
+    _row, the value of row_col, which numbers the rows (null without one)."""
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("_row")
+    hashed = F.when(F.col(id_col).isNull(), F.xxhash64(text, source)).otherwise(F.xxhash64(id_col)).alias("h")
+    rows = stored(docs.select(F.col(id_col).alias("_id"), source.alias("source"), size_words(text).alias("size"), row, hashed), "sizes")
     histogram = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     targets = stored(source_targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"))), "targets")
     dual = multipliers(histogram, targets)
@@ -88,12 +92,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     before = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
     c = stored(c.withColumn("r", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(before), F.lit(0.0))).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "rates")
     in_class = [F.col("x.source").eqNullSafe(F.col("c.source")), F.col("x.size") == F.col("c.size")]
-    hashed = F.xxhash64("_id")
-    laid = rows.alias("x").join(c.alias("c"), in_class).select("_id", "x.source", "x.size", "rate", "r", F.pmod(hashed, F.col("blocks").cast("long")).alias("block"), hashed.alias("h"))
+    laid = rows.alias("x").join(c.alias("c"), in_class).select("_id", "_row", "x.source", "x.size", "rate", "r", F.pmod("h", F.col("blocks").cast("long")).alias("block"), "h")
     first = W.partitionBy("source", "size").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = laid.groupBy("source", "size", "block").agg(F.count("*").alias("n")).select("source", "size", "block", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
-    laid = laid.alias("x").join(blocks.alias("c"), [*in_class, F.col("x.block") == F.col("c.block")]).select("_id", "x.source", "x.size", "rate", "r", "x.block", "h", "before")
-    k = F.col("before") + F.row_number().over(W.partitionBy("source", "size", "block").orderBy("h", "_id"))
+    laid = laid.alias("x").join(blocks.alias("c"), [*in_class, F.col("x.block") == F.col("c.block")]).select("_id", "_row", "x.source", "x.size", "rate", "r", "x.block", "h", "before")
+    k = F.col("before") + F.row_number().over(W.partitionBy("source", "size", "block").orderBy("h", "_id", "_row"))
     at = lambda i: F.floor(F.col("r") + i * F.col("rate") + F.lit(0.5) + 1e-9)
     laid = stored(laid.withColumn("k", k).withColumn("n", F.least(F.greatest(at(F.col("k")) - at(F.col("k") - 1), F.lit(0)), F.lit(MOST))), "copies")
     got = laid.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("got"))
@@ -106,15 +109,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     info = stored(info, "mend")
     here = (F.col("m.size") == F.col("l.size")) & F.col("m._id").eqNullSafe(F.col("l._id")) & (F.col("m.block") == F.col("l.block")) & (F.col("m.k") == F.col("l.k"))
     return laid.alias("l").join(info.alias("i"), F.col("l.source").eqNullSafe(F.col("i.source"))).select(
-        "l._id", "l.size", "l.source", "source_size", "target", "rate", (F.col("n") + F.when(here, F.col("m.by")).otherwise(0)).cast("int").alias("n"))
+        "l._id", "l._row", "l.size", "l.source", "source_size", "target", "rate", (F.col("n") + F.when(here, F.col("m.by")).otherwise(0)).cast("int").alias("n"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows of one id share the copies of their id."""
-    n = copies(docs, id_col, text_col, source_col).groupBy("_id").agg(F.sum("n").alias("__mix_n"), F.count("*").alias("__mix_rows")).withColumnRenamed("_id", "__mix_id")
-    both = docs.join(n, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id")))
-    share = F.when(F.col("__mix_rows") == 1, F.col("__mix_n")).otherwise(F.round(F.col("__mix_n") / F.col("__mix_rows"))).cast("int")
-    return both.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), share))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, each as often as the mix takes it, whether ids are null or repeated."""
+    # numbered rows are written, so that a row keeps its number
+    rows = stored(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "rows")
+    n = copies(rows, id_col, text_col, source_col, "__mix_row").where("n > 0").select(F.col("_row").alias("__mix_row"), F.col("n").alias("__mix_n"))
+    both = rows.join(n, "__mix_row")
+    return both.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), F.col("__mix_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,17 @@ def check_packing(rows, length):
     return len(used)
 
 
+def test_mixing_takes_rows_without_or_of_one_id_for_themselves(spark):
+    rows = [(i % 3 if i % 2 else None, f"w{i} " * (5 + i % 7), "en", f"s{i % 3}", 0, "x", 1, 0.5, "c") for i in range(300)]
+    d = spark.createDataFrame(rows, DOCS)
+    got, words = mixing.mixed(d).collect(), {}
+    for r in got:
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    targets = {r.source: r.target for r in mixing.copies(d).collect()}
+    assert all(abs(words.get(s, 0) - t) <= 11 for s, t in targets.items())
+    assert len({r.text for r in got if r.doc_id is None}) > 75
+
+
 def test_packing(spark, odd):
     import public_tokenizers as p
     from tokenizers import Tokenizer
