@@ -34,8 +34,9 @@ from .common import shipped, table
 KEEP = 0.5
 TRAIN_PAGES = 600  #: labelled pages that the potentials are counted over
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object math canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())  #: no tags are read until their end tag
+UNSEEN = frozenset("noscript template select svg annotation annotation-xml".split())  #: left out up to their own end tag; without one they are empty
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp object canvas math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle mpadded semantics".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an opening tag of the key closes an open element of the values, unless one of the stops is nearer
 _CLOSES = {
@@ -88,10 +89,21 @@ def _kind(attrs: str) -> str:
     return next((k for k, pattern in _NAMES if pattern.search(said)), "-") if said.strip() else "-"
 
 
+def _spans(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of a tag ends, by the end of its opening tag."""
+    spans, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+        if not m[1] and not (tag == "svg" and m[0].endswith("/>")):
+            open_.append(m.end())
+        elif m[1] and open_:
+            spans[open_.pop()] = m.end()
+    return spans
+
+
 def parse(page: str) -> Node:
     """The tree of a page; adjacent pieces of text stay apart where elements or comments lie between."""
     root = now = Node("#root", "-", None)
-    at, low = 0, None
+    at, low, spans = 0, None, {}
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -147,6 +159,11 @@ def parse(page: str) -> Node:
                 return root
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
+        elif tag in UNSEEN:
+            if tag not in spans:
+                spans[tag] = _spans(page, tag)
+            if tag != "svg" or not m[3].endswith("/"):
+                at = spans[tag].get(at, at)
         elif tag not in VOID and not m[3].endswith("/"):
             now = node
 
@@ -172,7 +189,7 @@ def flat(root: Node) -> list[Node]:
     return out
 
 
-_TAG_GROUP = {t: t for t in "#root #text article main section div p nav header footer aside form table td ul ol li blockquote pre figure figcaption body head a button dl details address".split()} | {t: "heading" for t in HEADS} | {t: "inline" for t in INLINE if t != "a"} | {t: "raw" for t in RAW} | {t: "void" for t in VOID}
+_TAG_GROUP = {t: t for t in "#root #text article main section div p nav header footer aside form table td ul ol li blockquote pre figure figcaption body head a button dl details address".split()} | {t: "heading" for t in HEADS} | {t: "inline" for t in INLINE if t != "a"} | {t: "raw" for t in RAW | UNSEEN} | {t: "void" for t in VOID}
 
 
 def features(x: Node) -> tuple[str, ...]:

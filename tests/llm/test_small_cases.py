@@ -322,6 +322,16 @@ def test_main_text(spark):
     assert [r.text for r in got if r.page_id in (2, 3, 6)] == ["", "", ""]
 
 
+def test_main_text_goes_on_after_graphics_and_unclosed_elements():
+    model, words = htmltext.trained(), "several plain words of the article that everybody wants to read today"
+    page = lambda x: f"<html><body><article><h1>Title of it</h1><p>{words} {x} and on it goes to the end</p><p>{words}</p></article></body></html>"
+    want = lambda x: " ".join(f"Title of it {words} {x} and on it goes to the end {words}".split())
+    for x in ('<svg width="1"/>', "<math/>", "<noscript>", "<select>", "<object>", "<canvas>", "<svg>", "<svg><svg/><svg><text>no</text></svg><text>no</text></svg>", "<noscript>no</noscript>"):
+        assert htmltext.extract(page(x), model) == want(""), x
+    assert htmltext.extract(page("<math><mi>energy</mi> <mo>equals</mo> <mi>mass</mi></math>"), model) == want("energy equals mass")
+    assert htmltext.extract(page('<object data="x">fallback words</object>'), model) == want("fallback words")
+
+
 def test_main_text_marginals_equal_enumeration():
     import itertools
     import math
