@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every operator here.
@@ -18,9 +20,13 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set."""
+    Only where that is unset and everything runs on one machine, as in tests, a temporary folder is
+    made and set; on a cluster its absence is an error, as executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         at = Path(tempfile.mkdtemp(prefix="tallymark-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -39,7 +45,45 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for frames that nothing reads any more, such as an iteration's."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def opened_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path for Python workers, and the path within it. Hadoop's names of object
+    stores become Arrow's; hdfs and viewfs go through libhdfs."""
+    scheme, mark, rest = uri.partition("://")
+    if mark:
+        uri = f"{ {'s3a': 's3', 's3n': 's3', 'wasbs': 'abfss', 'wasb': 'abfs'}.get(scheme, scheme) }://{rest}"
+    elif uri.startswith("file:"):
+        uri = "file://" + uri[5:]
+    return pafs.FileSystem.from_uri(uri)
+
+
+def joined_widely(rows: DataFrame, dim: DataFrame, key: str, spread: Column, many: int = 4096) -> DataFrame:
+    """rows with the columns of dim (unique on key, a binary column), null where dim has no such key.
+
+    Keys that hold more than a ``many``-th of rows, of which there are fewer than ``many``, meet a
+    broadcast part of dim; rows of those keys and of the null key are then dealt by ``spread`` (a hash
+    of the row), so that no task of the join gets them together."""
+    least = rows.count() // many
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(1, least))
+    others = [c for c in dim.columns if c != key]
+    near = dim.join(hot.select(key), key, "left_semi") if least else dim.limit(0)
+    near = stored(near.select(F.col(key).alias("__key"), F.struct(*others).alias("__near")), "hot")
+    far = dim.select(F.col(key).alias("__key"), F.struct(*others).alias("__far"))
+    x = rows.join(F.broadcast(near), F.col(key) == F.col("__key"), "left").drop("__key")
+    x = x.withColumn("__at", F.when(F.col(key).isNull() | F.col("__near").isNotNull(), F.unhex(F.hex(spread))).otherwise(F.col(key)))
+    x = x.join(far, F.col("__at") == F.col("__key"), "left").withColumn("__dim", F.coalesce("__near", "__far"))
+    return x.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"__dim.`{c}`").alias(c) for c in others))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +100,6 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_words(text) -> "F.Column":
+def size_words(text) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)), F.lit(0)).cast("long")

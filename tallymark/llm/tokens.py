@@ -1,12 +1,13 @@
 """Token counts by a digest cache.
 
-A text's key is the SHA-256 of its UTF-8 bytes (null is the empty text; nothing else is normalised,
-because any other rewriting could change a count) under the SHA-256 of the tokenizer's file. Counts
-lie in a Parquet table per tokenizer version; a run anti-joins its distinct keys against that table,
-encodes only those missing, appends their counts, and joins counts back to documents by key.
+A text's key is the SHA-256 of its normalised UTF-8 bytes under the SHA-256 of the tokenizer's file. Null
+is the empty text, and where the tokenizer writes a space as U+2581 and so cannot tell the two apart, that
+sign becomes a space; nothing else is rewritten, because it could change a count. Counts lie in a Parquet
+table per tokenizer version; a run anti-joins its distinct keys against that table, encodes only those
+missing, appends their counts, and joins counts back to documents by key.
 
 Copies meet in the map-side part of the distinct, so one text that a third of all rows share costs a
-row a task; the last join carries no texts, and adaptive execution splits a hot key on that side.
+row a task; the last join carries no texts, and keys of many rows meet a broadcast of their counts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows give a row each; an empty table
 gives no rows; extra columns are dropped; strings like ``<s>`` inside a text are plain text.
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shipped, table
+from .common import joined_widely, scratch, shipped, stored, table
 
-MEMO = 400_000  #: words whose counts a worker keeps
+MEMO, MEMO_CHARS = 400_000, 64  #: words whose counts a worker keeps, and how long these may be
+MARK = "\u2581"  #: what the tokenizer writes for a space
 LIMIT = 4096
 
 
@@ -45,24 +47,29 @@ class PieceCounter:
         probe = "a  b ▁c\n\td"
         self.memo: dict[str, int] = {}
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces) and self.model.encode(" a") != self.model.encode("a")
-        self.by_word = self.by_word and self._words(probe) == len(self.model.encode(probe))
+        self.marks = all(self.model.encode(t) == self.model.encode(t.replace(MARK, " ")) for t in (probe, MARK, f"{MARK} x{MARK}{MARK}y {MARK}"))
+        self.by_word = self.by_word and self._words(probe.replace(MARK, " ")) == len(self.model.encode(probe))
 
     def _words(self, text: str) -> int:
         memo, total = self.memo, 0
         for word in self._SEGMENT.findall(" " + text):
             n = memo.get(word)
             if n is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
                 # the model puts one space mark before what it is given
-                n = memo[word] = len(self.model.encode(word[1:])) if len(word) > 1 else 1
+                n = len(self.model.encode(word[1:])) if len(word) > 1 else 1
+                if len(word) <= MEMO_CHARS:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[word] = n
             total += n
         return total
 
     def __call__(self, text: str) -> int:
         if not text:
             return 0
-        return self._words(text) if self.by_word else len(self.model.encode(text))
+        if not self.by_word or MARK in text and not self.marks:
+            return len(self.model.encode(text))
+        return self._words(text.replace(MARK, " "))
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -88,7 +95,8 @@ def token_counts(docs: DataFrame, model: str, cache: str, id_col: str = "doc_id"
     with open(model, "rb") as f:
         at = f"{cache.rstrip('/')}/{hashlib.sha256(f.read()).hexdigest()}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    normal = F.replace(text, F.lit(MARK), F.lit(" ")) if counter(model).marks else text
+    keyed = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), normal.alias("text"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"))
     missing = keyed.select("digest", "text")
     if _exists(spark, at):
         missing = missing.join(spark.read.schema(CACHE).parquet(at), "digest", "left_anti")
@@ -101,11 +109,8 @@ def token_counts(docs: DataFrame, model: str, cache: str, id_col: str = "doc_id"
     missing.dropDuplicates(["digest"]).mapInArrow(encode, CACHE).write.mode("append").parquet(at)
     # two runs that miss the same text at once both append it; its counts are equal
     counts = spark.read.schema(CACHE).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (
-        keyed.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(counts, "digest")
-        .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    rows = stored(keyed.select(id_col, "digest", "n_bytes"), "keys")
+    return joined_widely(rows, counts, "digest", F.xxhash64(id_col, "n_bytes")).select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
