@@ -25,12 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, shipped, table
+from .common import opened_fs, scratch, shipped, table
 
 PROJECTIONS, MIN_SHARE, GROWTH, SURE = 24, 0.6, 1.5, 0.97
 BLOCK = 16_384
@@ -86,7 +85,8 @@ class CollisionIndex:
             if len(found):
                 fresh[found] = False
                 best_i = np.concatenate([best_i, found])
-                best_s = np.concatenate([best_s, (self.x[found] @ q) / (self.norm[found] * norm)])
+                # row by row, so that a score does not depend on where in the block a vector lies
+                best_s = np.concatenate([best_s, (self.x[found] * q).sum(axis=1) / (self.norm[found] * norm)])
                 keep = np.lexsort((self.ids[best_i], -best_s))[:k]
                 best_i, best_s = best_i[keep], best_s[keep]
             if not fresh.any():
@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         index = {d: CollisionIndex(np.concatenate([p[0] for p in ps]), np.concatenate([p[1] for p in ps])) for d, ps in parts.items()}
         if not index:
             return
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = opened_fs(path)
         for batch in pads.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=1024):
             out: list[tuple] = []
             for qid, q in zip(batch.column("id").to_pylist(), batch.column("vec")):
