@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Tokenising writes one small row for each piece to the shared folder; packing then deals pieces by
-their hash to as many tasks as there are ``TASK_SEQUENCES`` sequences of tokens. Each task packs its
+hash and row number, so that repeated rows part, to as many tasks as there are ``TASK_SEQUENCES`` sequences of tokens. Each task packs its
 pieces as they come with a fixed number of open bins: a bitset over free space finds the bin that a
 piece fits best in one shift; when all bins are open and none fits, the fullest is closed.
 
@@ -27,7 +27,7 @@ LENGTH = 4096  #: tokens of a sequence
 END = 1  #: id after each document
 OPEN_BINS = 256  #: bins that a task holds open
 TASK_SEQUENCES = 20_000  #: sequences' worth of tokens that one packing task gets
-MEMO = 250_000  #: entries of either memo of a worker
+MEMO, MEMO_CHARS = 250_000, 64  #: entries of either memo of a worker, and how long their keys may be
 
 
 class WordIds:
@@ -70,9 +70,11 @@ class WordIds:
         for word in self._WORDS.findall(part.lower()):
             ids = words.get(word)
             if ids is None:
-                if len(words) >= MEMO:
-                    words.clear()
-                ids = words[word] = self._word(word) if self.direct else self.whole(word)
+                ids = self._word(word) if self.direct else self.whole(word)
+                if len(word) <= MEMO_CHARS:
+                    if len(words) >= MEMO:
+                        words.clear()
+                    words[word] = ids
             found.append(ids)
         return b"".join(found)
 
@@ -87,9 +89,11 @@ class WordIds:
                 if ids is None:
                     ids = get(found[i])
                     if ids is None:
-                        if len(parts) >= MEMO:
-                            parts.clear()
-                        ids = parts[found[i]] = self._part(found[i])
+                        ids = self._part(found[i])
+                        if len(found[i]) <= MEMO_CHARS:
+                            if len(parts) >= MEMO:
+                                parts.clear()
+                            parts[found[i]] = ids
                     out[i] = ids
         return b"".join(out)
 
@@ -168,10 +172,12 @@ def pack(cut: DataFrame, tokens: int, length: int = LENGTH, bins: int = OPEN_BIN
             kinds = zip(zip(*placed) if placed else [()] * 2, (base, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([x + more for x in c], pa.int64()) for c, more in kinds)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    # an order that has nothing to do with lengths, and is the same in each run
+    # an order that has nothing to do with lengths; rows that are equal are dealt by their number
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = cut.repartition(tasks, order) if tasks > 1 else cut.repartition(1)
-    return dealt.sortWithinPartitions(order, "doc_id", "piece", "start", "ids_crc32").mapInArrow(fill, PACKED)
+    columns = [*cut.columns, "__number"]
+    numbered = cut.select(*cut.columns, F.monotonically_increasing_id().alias("__number"))
+    dealt = numbered.repartition(tasks, order, "__number") if tasks > 1 else numbered.repartition(1)
+    return dealt.sortWithinPartitions(order, *columns).mapInArrow(fill, PACKED)
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
