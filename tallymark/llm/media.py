@@ -1,11 +1,12 @@
 """Media columns: texts stored losslessly as 8-bit grey PNG members of ZIP archives, read back by a
 custom data source.
 
-Writing: every task streams its rows into its own archives under the shared folder; an archive is
-written under a dotted name and moved to its final name when whole, so a retried or speculative
-task replaces its archive with the same bytes and half-written ones are never listed.
+Writing: every attempt of a task streams its rows into archives of its own under the shared folder and
+returns their names, sizes and members. Spark commits the rows of one attempt of each task, so the table of
+these rows is the folder's manifest: archives of lost, retried or speculative attempts are not in it.
 
-Reading: ``MediaArchives`` plans byte ranges from the sizes of the listed archives alone. The task
+Reading: ``MediaArchives`` plans byte ranges from the sizes in the manifest, or of all archives in a
+folder that has none; every range is checked against the manifest's count of members. The task
 of a range reads the archive's central directory, takes the members whose local header starts in
 the range, and streams their payloads as Arrow batches of bounded size. A member that cannot be
 read is retried by itself at its offset, over a newly opened file; after the last attempt the task
@@ -27,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch, shipped, stored, table
+from .common import opened_fs, scratch, shipped, table
 
 SIDE = 64  #: payloads are padded to a positive multiple of this; also the images' width
 ARCHIVE_BYTES = 256 << 20  #: an archive is closed at this size
 SPLIT_BYTES = 32 << 20  #: byte range of one read partition
 BATCH_BYTES = 4 << 20  #: payload of one Arrow batch
 ATTEMPTS = 3  #: reads of one member
+MANIFEST = "manifest"  #: Parquet table in a folder of archives: archive, bytes, members
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -98,24 +101,24 @@ def write_archives(docs: DataFrame, id_col: str, text_col: str, archive_bytes: i
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = opened_fs(folder)
         fs.create_dir(root, recursive=True)
         done, out, zf, name = [], None, None, ""
 
         def close() -> None:
             nonlocal zf
             zf.close()
+            size = out.tell()
             out.close()
-            fs.move(f"{root}/.{name}-{task.taskAttemptId()}", f"{root}/{name}")
-            done.append((name, row))
+            done.append((name, size, row))
             zf = None
 
         row = 0
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
                 if zf is None:
-                    name, row = f"part-{task.partitionId():06d}-{len(done):05d}.zip", 0
-                    out = fs.open_output_stream(f"{root}/.{name}-{task.taskAttemptId()}", buffer_size=1 << 20)
+                    name, row = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):05d}.zip", 0
+                    out = fs.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
                     zf = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
                 key = doc.as_py()
                 zf.writestr(zipfile.ZipInfo(f"{row:09d}{'' if key is None else f'_{key}'}.png"), encode_png((text.as_py() or "").encode("utf-8", "surrogatepass")))
@@ -124,15 +127,16 @@ def write_archives(docs: DataFrame, id_col: str, text_col: str, archive_bytes: i
                     close()
         if zf is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "members"])
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["archive", "bytes", "members"])
 
-    stored(docs.select(id_col, text_col).mapInArrow(write, "archive string, members long"), "media-written")
+    docs.select(id_col, text_col).mapInArrow(write, "archive string, bytes long, members long").write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, members: int | None):
+        self.path, self.start, self.end, self.members = path, start, end, members
 
 
 class MediaArchives(DataSource):
@@ -157,19 +161,26 @@ class _Reader(DataSourceReader):
         self.batch = int(options.get("batch_bytes", BATCH_BYTES))
 
     def partitions(self) -> list[_Range]:
-        fs, root = pafs.FileSystem.from_uri(self.path)
-        files = [f for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] != "."]
-        return [_Range(f.base_name, at, min(at + self.split, f.size)) for f in sorted(files, key=lambda f: f.base_name) for at in range(0, f.size, self.split)] or [_Range("", 0, 0)]
+        fs, root = opened_fs(self.path)
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.Directory:
+            archives = pads.dataset(f"{root}/{MANIFEST}", filesystem=fs, format="parquet").to_table().to_pylist()
+        else:
+            files = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+            archives = [{"archive": f.base_name, "bytes": f.size, "members": None} for f in files if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] not in "._"]
+        archives.sort(key=lambda a: a["archive"])
+        return [_Range(a["archive"], at, min(at + self.split, a["bytes"]), a["members"]) for a in archives for at in range(0, a["bytes"], self.split)] or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        fs, root = pafs.FileSystem.from_uri(self.path)
+        fs, root = opened_fs(self.path)
 
         def opened() -> zipfile.ZipFile:
             return zipfile.ZipFile(fs.open_input_file(f"{root}/{part.path}"))
 
         zf, rows, held = opened(), [], 0
+        if part.members is not None and len(zf.infolist()) != part.members:
+            raise ValueError(f"{part.path} holds {len(zf.infolist())} members, its manifest says {part.members}")
         for info in sorted(zf.infolist(), key=lambda i: i.header_offset):
             if not part.start <= info.header_offset < part.end:
                 continue
