@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import size_words, stored, table
+from .common import forget, size_words, stored, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 ITERATIONS = 40
@@ -71,7 +71,8 @@ def multipliers(histogram: DataFrame, targets: DataFrame, iterations: int = ITER
         step = F.col("m") - F.try_divide(over, "slope")
         middle = (F.col("lo") + F.col("hi")) / 2
         j = j.select("source", "scale", "target", F.when(done | F.col("done"), F.col("m")).when((step > F.col("lo")) & (step < F.col("hi")), step).otherwise(middle).alias("m"), "lo", "hi", (done | F.col("done")).alias("done"))
-        now = stored(j, "dual")
+        old, now = now, stored(j, "dual")
+        forget(old)
         if now.where("not done").isEmpty():
             break
     return now.select("source", "scale", "target", "m")

@@ -220,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
     sample = own.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") <= chars)
-    got = texts.join(F.broadcast(sample), "_id").select("_id", "_y", "_t").collect()
+    # one text an id, whatever repeats: at most ``rows`` rows of at most ``chars`` characters come to the driver
+    got = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
     y = np.array([r[1] for r in got])
     if len(got) < 10 or not 0 < y.mean() < 1:
