@@ -24,6 +24,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
+CHUNK = 1024  #: code points
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: bits that a window must have, by the narrowest class that holds the whole string
 CLASSES = ((r"^[0-9a-f]+$|^[0-9A-F]+$", 3.0), (r"^[A-Z0-9]+$|^[a-z0-9]+$", 3.6), (r"^[A-Za-z0-9]+$", 3.8), (r".", 3.9))
@@ -39,16 +40,42 @@ ALLOWED = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
-def _spans(found: Column, gaps: Column, kind: int, keep=None) -> Column:
-    """Spans of found, which lie between gaps. keep(match): whether a match counts."""
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(gaps[i]) + F.length(found[i])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(gaps[i])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(gaps[i]) + F.length(found[i])).alias("end"), i.alias("i")))).alias("out"),
-    )
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,i:int>>)")
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    spans = F.when(F.size(found) > 0, spans).otherwise(none)
-    return F.filter(spans, lambda s: keep(s["i"])) if keep else spans
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once. Columns named within a lambda may be computed anew for
+    each item, as they may stand for expressions by then; a lambda's arguments are not."""
+    return F.transform(F.array(value), then)[0]
+
+
+def scanned(items: Column, zero: Column, step, of: str) -> Column:
+    """The running states of step(state, item) after each item; of: the states' type. Appending to an array
+    copies it, so states are gathered in blocks of about the root of their number, and blocks by reference."""
+    n = F.size(items)
+    none, nones = F.expr(f"cast(array() as array<{of}>)"), F.expr(f"cast(array() as array<array<{of}>>)")
+    width = lambda n: F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+
+    def inner(acc: Column, x: Column) -> Column:
+        state = step(acc["last"], x)
+        return F.struct(state.alias("last"), F.concat(acc["out"], F.array(state)).alias("out"))
+
+    def outer(acc: Column, k: Column) -> Column:
+        own = F.slice(acc["items"], k * acc["width"] + 1, acc["width"])
+        done = F.aggregate(own, F.struct(acc["last"].alias("last"), none.alias("out")), inner)
+        # one block, made once: its last state is the next block's first
+        return let(done, lambda d: F.struct(d["last"].alias("last"), F.concat(acc["out"], F.array(d["out"])).alias("out"), acc["items"].alias("items"), acc["width"].alias("width")))
+
+    start = F.struct(zero.cast(of).alias("last"), nones.alias("out"), items.alias("items"), width(n).alias("width"))
+    found = F.aggregate(F.sequence(F.lit(0), F.ceil(n / width(n)).cast("int") - 1), start, outer, lambda acc: F.flatten(acc["out"]))
+    return F.when(n > 0, found).otherwise(none)
+
+
+def _spans(found: Column, gaps: Column, kind: int, keep=None, values: Column | None = None) -> Column:
+    """Spans of found, which lie between gaps. keep(match, value): whether a match counts."""
+    sizes = F.slice(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"))), 1, F.size(found))
+    ends = scanned(sizes, F.lit(0), lambda at, x: at + x["gap"] + x["own"], "int")
+    spans = F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("match")))
+    both = F.zip_with(spans, found if values is None else values, lambda s, v: F.struct(s.alias("s"), v.alias("v")))
+    both = F.filter(both, lambda x: keep(x["s"]["match"], x["v"])) if keep else both
+    return F.transform(both, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end")))
 
 
 def _xlog(c: Column) -> Column:
@@ -94,17 +121,23 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
         df = df.withColumn(f"__sp_m_{name}", F.when(F.col(f"__sp_has_{name}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
         df = df.withColumn(f"__sp_g_{name}", F.when(F.col(f"__sp_has_{name}"), F.split(text, pattern, -1)).otherwise(none))
     df = df.withColumn("__sp_v", F.when(F.col("__sp_has_assign"), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(none))
-    bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.concat(
-        _spans(F.col("__sp_m_assign"), F.col("__sp_g_assign"), 0, lambda i: F.length(F.col("__sp_v")[i]) >= 6),
+        _spans(F.col("__sp_m_assign"), F.col("__sp_g_assign"), 0, lambda m, v: F.length(v) >= 6, F.col("__sp_v")),
         _spans(F.col("__sp_m_access"), F.col("__sp_g_access"), 1),
         _spans(F.col("__sp_m_hex"), F.col("__sp_g_hex"), 2),
     )
-    df = df.withColumn("__sp_base", F.array_sort(bare(base)))
-    extra = bare(_spans(F.col("__sp_m_cand"), F.col("__sp_g_cand"), 3, lambda i: is_random(F.col("__sp_m_cand")[i])))
-    df = df.withColumn("__sp_extra", F.filter(extra, lambda s: ~F.exists("__sp_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    df = df.withColumn("__sp_base", F.array_sort(base))
+    df = df.withColumn("__sp_extra", _spans(F.col("__sp_m_cand"), F.col("__sp_g_cand"), 3, lambda m, v: is_random(m)))
+    # both kinds by place: a finding overlaps a base span if one before it ends after its start, or the next begins before its end
+    df = df.withColumn("__sp_all", F.array_sort(F.concat("__sp_base", "__sp_extra")))
+    is_base = lambda s: s["kind"] != 3
+    reach = scanned(F.col("__sp_all"), F.lit(0), lambda at, s: F.when(is_base(s), F.greatest(at, s["end"])).otherwise(at), "int")
+    ahead = F.reverse(scanned(F.reverse("__sp_all"), F.lit(2**31 - 1), lambda at, s: F.when(is_base(s), s["start"]).otherwise(at), "int"))
+    around = F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("reach"), a.alias("ahead")))
+    alone = F.filter(F.zip_with("__sp_all", around, lambda s, x: F.struct(s.alias("s"), x.alias("x"))), lambda y: is_base(y["s"]) | ((y["x"]["reach"] <= y["s"]["start"]) & (y["x"]["ahead"] >= y["s"]["end"])))
+    df = df.withColumn("__sp_all", F.when((F.size("__sp_extra") > 0) & (F.size("__sp_base") > 0), F.transform(alone, lambda y: y["s"])).otherwise(F.col("__sp_all")))
     keep = [c for c in docs.columns if c not in (out, f"{out}_base")]
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col("__sp_base").alias(f"{out}_base"), F.array_sort(F.concat("__sp_base", "__sp_extra")).alias(out))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col("__sp_base").alias(f"{out}_base"), F.col("__sp_all").alias(out))
 
 
 def _joined(spans: str) -> Column:
@@ -115,13 +148,26 @@ def _joined(spans: str) -> Column:
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by mark; null texts stay null."""
     df = with_spans(docs, text_col, "__sp_found")
-    text = F.col(text_col)
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    done = F.aggregate("__sp_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("__sp_found") > 0, done).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text, found = F.col(text_col), F.col("__sp_found")
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        head = F.substring(F.get(chunks, a), start - a * CHUNK + 1, F.lit(CHUNK))
+        middle = F.when(b - a > 1, F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")).otherwise(F.lit(""))
+        tail = F.substring(F.coalesce(F.get(chunks, b), F.lit("")), F.lit(1), end - b * CHUNK)
+        return F.when(a == b, F.substring(F.get(chunks, a), start - a * CHUNK + 1, end - start)).otherwise(F.concat(head, middle, tail))
+
+    def replaced(x: Column) -> Column:
+        some = lambda start, end: F.when(start < end, cut(x["chunks"], start, end)).otherwise(F.lit(""))
+        before = F.slice(F.concat(F.array(F.lit(0)), x["past"]), 1, F.size(x["found"]))  # where the text before each span begins
+        pieces = F.zip_with(x["found"], before, lambda s, at: F.when(s["start"] >= at, F.concat(some(at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), some(F.element_at(x["past"], -1), x["size"]))
+
+    # pieces are cut from chunks, as a place in a whole text is found by counting from its start
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    past = scanned(found, F.lit(0), lambda at, s: F.greatest(at, s["end"]), "int")
+    done = let(F.struct(chunks.alias("chunks"), past.alias("past"), found.alias("found"), F.length(text).alias("size")), replaced)
+    return df.withColumn(text_col, F.when(F.size(found) > 0, done).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
