@@ -1,15 +1,17 @@
 """Main text of web pages by a tree-structured graphical model.
 
-A page becomes a tree of DOM elements and runs of text. Every node has a hidden state, content or not;
-features of the element (its tag, what its class, id and role speak of, how much of its text is in links,
-how long its text is) give node potentials, and each parent and child share a potential that depends on
+A page becomes a tree of DOM elements and runs of text, read in one pass whose time grows with the page's
+length, whatever is in it. Every node has a hidden state, content or not;
+features of the element (its tag, all that the words of its class, id and role speak of, how much of its text is
+in links, how long its text is, whether it wraps the article) give node potentials, and each parent and child share a potential that depends on
 what kind of element the child is. Messages pass once from the leaves up and once from the root down
 (sum-product, in logarithms), which gives every node's exact marginal; text whose marginal is at least
 ``KEEP`` is content.
 
 Potentials are estimated by counting over labelled pages: ``labelled_pages`` writes small pages in many
 layouts (semantic tags, classed divisions, tables, bare paragraphs, with menus, banners, side columns,
-notices, adverts, forms, reader comments) and knows which of their parts are the article. Smoothed counts
+notices, adverts, forms, reader comments, and with wrappers, bodies and articles whose class names speak of
+those) and knows which of their parts are the article. Smoothed counts
 give the class priors, the likelihood of each feature and the transitions.
 
 Defined results: null or empty html gives the empty text; unclosed and misnested elements are closed as
@@ -19,6 +21,7 @@ table gives no rows; extra columns are dropped.
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
 import random
@@ -49,135 +52,255 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+_RULES = {tag: [key for key, (closes, stops) in _CLOSES.items() if tag in closes | stops] for key, (closes, stops) in _CLOSES.items() for tag in closes | stops}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-#: what a name in class, id, role or itemprop speaks of
-_NAMES = (
-    ("comment", re.compile(r"comment|repl(?:y|ies)|discuss|disqus|respond|reader", re.I)),
-    ("ad", re.compile(r"(?:^|[\s_-])ads?(?:$|[\s_-])|advert|sponsor|promo|banner|outbrain|taboola", re.I)),
-    ("notice", re.compile(r"cookie|consent|gdpr|notice|alert|modal|popup|overlay|subscribe|newsletter|paywall|toast", re.I)),
-    ("nav", re.compile(r"nav|menu|breadcrumb|toolbar|tabs|pag(?:er|ination)|skip", re.I)),
-    ("side", re.compile(r"side|aside|rail|widget|related|recommend|trending|popular|share|social|tags|author-?bio|meta", re.I)),
-    ("foot", re.compile(r"foot|copyright|legal|contentinfo|colophon", re.I)),
-    ("head", re.compile(r"header|masthead|logo|topbar|branding", re.I)),
-    ("form", re.compile(r"form|search|login|signup", re.I)),
-    ("main", re.compile(r"article|content|post|entry|story|main|body|text", re.I)),
-)
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
+_BLANK = " \t\n\r\f"
+#: what a word in class, id, role or itemprop speaks of
+_SAYS = {
+    "comment": "comment reply replie discussion discuss disqus respond response respondent reader",
+    "ad": "ad advert advertisement advertising sponsor sponsored promo promoted promotion banner outbrain taboola adsense adslot",
+    "notice": "cookie consent gdpr notice alert modal popup overlay subscribe subscription newsletter paywall toast",
+    "nav": "nav navigation navbar menu breadcrumb crumb toolbar tab pager pagination skip topnav subnav sitemap",
+    "side": "side sidebar aside rail widget related recommended recommendation recommend trending popular share sharing social tag meta byline bio",
+    "foot": "foot footer copyright legal contentinfo colophon",
+    "head": "head header masthead logo topbar branding",
+    "form": "form search login signin signup contact",
+    "main": "article content post entry hentry story main body text prose",
+    "": "box wrapper wrap container list block section area inner outer wide bar page site layout col column left right top bottom item row title link button icon slot unit the of by",
+}
+_WORDS = {w: kind for kind, words in _SAYS.items() for w in words.split()}
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+@functools.lru_cache(20_000)
+def _said(word: str) -> frozenset[str]:
+    """What a word speaks of, itself or as a compound of known words; its plural counts as the word."""
+    for w in (word, word.removesuffix("s"), word.removesuffix("es")):
+        if w in _WORDS:
+            return frozenset({_WORDS[w]} - {""})
+    if len(word) <= 40:  # class names are words; longer runs of letters are no compounds
+        parts: list = [frozenset()] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - 14), end):
+                if parts[start] is not None and end - start > 2 and word[start:end].removesuffix("s") in _WORDS:
+                    parts[end] = parts[start] | ({_WORDS[word[start:end].removesuffix("s")]} - {""})
+                    break
+        if parts[-1] is not None:
+            return parts[-1]
+    return frozenset()
+
+
+@functools.lru_cache(20_000)
+def _name_kinds(name: str) -> tuple[frozenset[str], bool]:
+    """What one name speaks of, and whether it is a single word."""
+    words = _PARTS.findall(name)
+    return frozenset().union(*(_said(w.lower()) for w in words)), len(words) == 1
+
+
+NOTHING: frozenset[str] = frozenset()
 
 
 class Node:
-    __slots__ = ("tag", "kind", "parent", "children", "text", "chars", "linked", "under")
+    __slots__ = ("tag", "kinds", "names_main", "parent", "children", "text", "chars", "linked", "titled", "wide", "under", "inside")
 
-    def __init__(self, tag: str, kind: str, parent: Node | None):
-        self.tag, self.kind, self.parent = tag, kind, parent
+    def __init__(self, tag: str, attrs: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
+        self.kinds, self.names_main = _kinds(attrs) if attrs else (NOTHING, False)
         self.children: list[Node] = []
         self.text: str | None = None  # of runs of text
         self.chars = self.linked = 0
-        self.under = "-"  # what the nearest ancestors' names or tags speak of, this node included
-
-
-def _kind(attrs: str) -> str:
-    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return "-"
-    said = []
-    for name, *values in _ATTR.findall(attrs):
-        if name.lower() == "hidden" and not any(values):
-            return "hidden"
-        said.append("".join(values))
-    said = " ".join(said)
-    return next((k for k, pattern in _NAMES if pattern.search(said)), "-") if said.strip() else "-"
+        self.titled = tag == "h1"  # whether it holds a first heading
+        self.wide = False  # whether it wraps the article
+        self.under = NOTHING  # what the ancestors that wrap no article speak of, this node included
+        self.inside = False  # whether an ancestor or the node is an article
+
+
+def _kinds(attrs: str) -> tuple[frozenset[str], bool]:
+    """What an element's names speak of, and whether one name of a single word says article. Where
+    single words say something, compounds of other names say nothing: post beside tag-sponsor."""
+    if "=" not in attrs and "hidden" not in attrs.lower():
+        return NOTHING, False
+    whole, part = set(), set()
+    for m in _ATTR.finditer(attrs):
+        name = m[1].lower()
+        if name == "hidden":
+            return frozenset({"hidden"}), False
+        if name in _NAMED:
+            for word in (m[2] or m[3] or m[4] or "").split():
+                kinds, single = _name_kinds(word) if len(word) < 200 else (NOTHING, False)
+                (whole if single else part).update(kinds)
+    return frozenset(whole if "main" in whole else whole | part), "main" in whole
+
+
+def _tag_end(page: str, at: int, missing: set[str]) -> int:
+    """The place of the ``>`` of the tag whose name ends at ``at``, -1 without one. Quotes count where
+    they open a value; one that is not closed, or only by the quote that opens the value of a later tag, does
+    not. missing: quotes that do not occur from here on."""
+    start = at
+    while True:
+        m = _STOP.search(page, at)
+        if not m:
+            return -1
+        i, c = m.start(), m[0]
+        if c == ">":
+            return i
+        at = before = i + 1
+        while before > start + 1 and page[before - 2] in _BLANK:
+            before -= 1
+        if page[before - 2] != "=" or c in missing:
+            continue
+        close = page.find(c, at)
+        if close < 0:
+            missing.add(c)
+        elif not (page[close - 1] == "=" and close + 1 < len(page) and page[close + 1] not in _BLANK + "/>" and page.find("<", at, close) > page.find(">", at, close) >= 0):
+            at = close + 1
 
 
-def _spans(page: str, tag: str) -> dict[int, int]:
-    """Where each closed element of a tag ends, by the end of its opening tag."""
-    spans, open_ = {}, []
-    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
-        if not m[1] and not (tag == "svg" and m[0].endswith("/>")):
-            open_.append(m.end())
-        elif m[1] and open_:
-            spans[open_.pop()] = m.end()
-    return spans
+def tokens(page: str) -> list[tuple]:
+    """(None, text), (tag, attributes) of opening and ("/" + tag, "") of closing tags, in order. What
+    stands in elements that hold no tags, in comments and declarations is left out."""
+    out, at, missing = [], 0, set()
+    while True:
+        i = page.find("<", at)
+        while 0 <= i and not (page[i + 1 : i + 2].isalpha() and page[i + 1] < "\x7f" or page[i + 1 : i + 2] in ("/", "!", "?") and page[i + 2 : i + 3]):
+            i = page.find("<", i + 1)
+        if i < 0:
+            out.append((None, page[at:]))
+            return out
+        if i > at:
+            out.append((None, page[at:i]))
+        closing = page[i + 1] == "/"
+        name = _TAG.match(page, i + 1 + closing)
+        if page.startswith("<!--", i):
+            at = page.find("-->", i + 2) + 3
+            if at < 3:
+                return out
+            out.append(("!", ""))
+            continue
+        if name is None:  # a declaration, or a closing tag without a name
+            at = page.find(">", i) + 1
+            if not at:
+                return out
+            out.append(("!", ""))
+            continue
+        end = _tag_end(page, name.end(), missing)
+        if end < 0:
+            return out
+        tag, at = name[0].lower(), end + 1
+        out.append(("/" + tag, "") if closing else (tag, page[name.end() : end]))
+        if tag in RAW and not closing:
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
+            if not close:
+                return out
+            at = close.start()
+
+
+def _past(toks: list[tuple]) -> dict[int, int]:
+    """Where each closed element that is left out ends, by the place of its opening tag."""
+    ends, open_ = {}, {}
+    for i, (tag, attrs) in enumerate(toks):
+        if tag in UNSEEN and not (tag == "svg" and attrs.endswith("/")):
+            open_.setdefault(tag, []).append(i)
+        elif tag is not None and tag[0] == "/" and open_.get(tag[1:]):
+            ends[open_[tag[1:]].pop()] = i
+    return ends
 
 
 def parse(page: str) -> Node:
     """The tree of a page; adjacent pieces of text stay apart where elements or comments lie between."""
-    root = now = Node("#root", "-", None)
-    at, low, spans = 0, None, {}
-
-    def text(piece: str) -> None:
-        if piece and not piece.isspace():
-            leaf = Node("#text", "-", now)
-            leaf.text = piece
-            now.children.append(leaf)
-        elif piece and now.children:
-            leaf = Node("#text", "-", now)
-            leaf.text = " "
-            now.children.append(leaf)
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            return root
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    root = now = Node("#root", "", None)
+    toks = tokens(page)
+    past = _past(toks) if any(t in UNSEEN for t, _ in toks) else {}
+    # what is open, so that no search climbs past what it will close: elements by tag, inline ones by tag
+    # within each block, and of each rule of _CLOSES those that it names
+    depth: dict[str, int] = {}
+    scopes: list[tuple[Node, dict[str, int]]] = [(root, {})]
+    ruled: dict[str, list[Node]] = {key: [] for key in _CLOSES}
+
+    def open_(x: Node) -> None:
+        nonlocal now
+        now = x
+        depth[x.tag] = depth.get(x.tag, 0) + 1
+        if x.tag in INLINE:
+            scopes[-1][1][x.tag] = scopes[-1][1].get(x.tag, 0) + 1
+        else:
+            scopes.append((x, {}))
+        for key in _RULES.get(x.tag, ()):
+            ruled[key].append(x)
+
+    def up(x: Node) -> None:
+        """Closes elements up to and with x."""
+        nonlocal now
+        while True:
+            depth[now.tag] -= 1
+            if now.tag in INLINE:
+                scopes[-1][1][now.tag] -= 1
+            else:
+                scopes.pop()
+            for key in _RULES.get(now.tag, ()):
+                ruled[key].pop()
+            done, now = now is x, now.parent
+            if done:
+                return
+
+    i = -1
+    while i + 1 < len(toks):
+        i += 1
+        tag, attrs = toks[i]
+        if tag is None:
+            blank = attrs.isspace()
+            if attrs and (not blank or now.children):
+                leaf = Node("#text", "", now)
+                leaf.text = " " if blank else attrs
+                now.children.append(leaf)
             continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag closes up to the nearest open element of its name, past inline ones only
-            x = now
-            while x is not root and x.tag != tag and not (tag in HEADS and x.tag in HEADS):
-                if tag in INLINE and x.tag not in INLINE:
-                    x = root
-                    break
-                x = x.parent
-            if x is not root:
-                now = x.parent
+        if tag == "!":
             continue
-        if tag in _ENDS_P:
-            x = now
-            while x is not root and (x.tag in INLINE or x.tag == "p"):
-                if x.tag == "p":
-                    now = x.parent
-                    break
-                x = x.parent
+        if tag[0] == "/":  # an end tag closes up to the nearest open element of its name, past inline ones only
+            tag = tag[1:]
+            if scopes[-1][1].get(tag) if tag in INLINE else any(depth.get(h) for h in HEADS) if tag in HEADS else depth.get(tag):
+                x = now
+                while x.tag != tag and not (tag in HEADS and x.tag in HEADS):
+                    x = x.parent
+                up(x)
+            continue
+        if tag in _ENDS_P and scopes[-1][0].tag == "p":
+            up(scopes[-1][0])
         if tag in _CLOSES:
-            closes, stops = _CLOSES[tag]
-            x = now
-            while x is not root and x.tag not in stops:
-                if x.tag in closes:
-                    now = x.parent
-                x = x.parent
-        node = Node(tag, _kind(m[3]), now)
+            last = None
+            for x in reversed(ruled[tag]):
+                if x.tag in _CLOSES[tag][1]:
+                    break
+                last = x
+            if last is not None:
+                up(last)
+        node = Node(tag, attrs, now)
         now.children.append(node)
         if tag in RAW:
-            if low is None:
-                low = page.lower() if len(page.lower()) == len(page) else None
-            end = low.find("</" + tag, at) if low is not None else next((k.start() for k in re.finditer("</" + tag, page[at:], re.I)), -1 - at) + at
-            if end < 0:
-                return root
-            close = page.find(">", end)
-            at = len(page) if close < 0 else close + 1
+            i += 1  # to the closing tag; without one the page ends here
         elif tag in UNSEEN:
-            if tag not in spans:
-                spans[tag] = _spans(page, tag)
-            if tag != "svg" or not m[3].endswith("/"):
-                at = spans[tag].get(at, at)
-        elif tag not in VOID and not m[3].endswith("/"):
-            now = node
+            i = past.get(i, i)
+        elif tag not in VOID and not (tag in ("svg", "math") and attrs.endswith("/")):
+            open_(node)
+    return root
+
+
+#: tags that speak as names do
+_SPEAKS = {"nav": "nav", "menu": "nav", "aside": "side", "footer": "foot", "header": "head", "form": "form", "button": "form", "label": "form"}
+_ARTICLE = frozenset(("article", "main"))
 
 
 def flat(root: Node) -> list[Node]:
-    """Nodes, each after its parent; sums of text filled in."""
+    """Nodes, each after its parent; sums of text and what ancestors say filled in."""
     out, stack = [], [root]
     while stack:
         x = stack.pop()
         out.append(x)
         stack.extend(reversed(x.children))
-        own = x.kind if x.kind != "-" else _SPEAKS.get(x.tag, "-")
-        above = x.parent.under if x.parent is not None else "-"
-        x.under = own if own not in ("-", "main") else above if above != "-" else own
     for x in reversed(out):
         if x.text is not None:
             x.chars = len(x.text.strip())
@@ -186,6 +309,22 @@ def flat(root: Node) -> list[Node]:
         if x.parent is not None:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
+            x.parent.titled |= x.titled
+    total = root.chars or 1
+    for x in reversed(out):  # what wraps: the page, an article of weight and all around it
+        chrome = x.kinds - {"main"}
+        is_article = (x.tag in _ARTICLE and not chrome) or x.names_main
+        x.wide |= x.tag in ("#root", "html", "body") or (x.titled and x.chars >= 0.5 * total) or x.chars >= 0.9 * total or (is_article and (x.titled or x.chars >= 0.4 * total))
+        if x.parent is not None and x.wide:
+            x.parent.wide = True
+    for x in out:
+        if x.parent is not None:
+            x.under, x.inside = x.parent.under, x.parent.inside
+        if x.text is None and not x.wide and not (x.inside and x.titled and x.tag == "header"):
+            spoken = x.kinds - {"main"} or ({_SPEAKS[x.tag]} if x.tag in _SPEAKS else NOTHING)
+            if spoken:
+                x.under = x.under | spoken
+        x.inside |= x.tag in _ARTICLE or x.names_main
     return out
 
 
@@ -193,16 +332,13 @@ _TAG_GROUP = {t: t for t in "#root #text article main section div p nav header f
 
 
 def features(x: Node) -> tuple[str, ...]:
-    group = _TAG_GROUP.get(x.tag, "other")
     size = min(6, int(math.log2(x.chars + 1)) // 2)
-    density = 0 if not x.chars else 1 + min(3, int(4 * x.linked / x.chars))
+    around = (f"inside:{x.inside}", *(f"under:{k}" for k in sorted(x.under) or "-"))
     if x.tag == "#text":
-        return (f"text:{size}", f"in:{_TAG_GROUP.get(x.parent.tag, 'other')}", f"under:{x.under}")
-    return (f"tag:{group}", f"kind:{x.kind}", f"size:{size}", f"links:{density}", f"under:{x.under}")
-
-
-#: tags that speak as names do
-_SPEAKS = {"nav": "nav", "menu": "nav", "aside": "side", "footer": "foot", "header": "head", "form": "form", "button": "form", "label": "form", "article": "main", "main": "main"}
+        return (f"text:{size}", f"in:{_TAG_GROUP.get(x.parent.tag, 'other')}", *around)
+    density = 0 if not x.chars else 1 + min(3, int(4 * x.linked / x.chars))
+    kinds = (f"kind:{k}:{x.wide}" for k in sorted(x.kinds) or "-")
+    return (f"tag:{_TAG_GROUP.get(x.tag, 'other')}", f"size:{size}", f"links:{density}", *kinds, *around)
 
 
 class TreeModel:
@@ -338,7 +474,8 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 17) -> list[tuple[str,
     def article_body() -> str:
         c, out = _MARK, []
         if r.random() < 0.8:
-            out.append(f"<h1>{c}{words(1, 12)}</h1>")
+            title = f"<h1>{c}{words(1, 12)}</h1>"
+            out.append(title if r.random() < 0.85 else f"<header>{title}</header>")
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             k = r.random()
             if k < 0.7:
@@ -402,6 +539,15 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 17) -> list[tuple[str,
         one = lambda: block(["comment", "reply", "comment-body"], ["div", "li", "article"], f"<b>{words(1, 2)}</b><p>{words(3, 60)}</p>")
         return block(["comments", "comment-list", "discussion", "responses"], ["section", "div", "section"], f"<h3>{words(1, 3)}</h3>" + "".join(one() for _ in range(r.randint(1, 5))))
 
+    def hidden() -> str:
+        return f"<div hidden>{plain()}</div>"
+
+    def strange() -> str:
+        """Class names that speak of a page's other parts, on what wraps the article."""
+        parts = ["sidebar", "header", "social", "ad", "nav", "menu", "footer", "widget", "form", "notice", "promo", "meta", "share", "search", "tag"]
+        kinds = ["layout", "wide", "wrapper", "container", "page", "with", "no", "news", "site", "main", "grid"]
+        return " ".join(r.choice(["{0}-{1}", "{1}-{0}", "{1}-{0}-{2}", "{0}_{1}"]).format(r.choice(parts), r.choice(kinds), r.choice(kinds)) for _ in range(r.randint(1, 2)))
+
     pages = []
     for _ in range(count):
         layout = r.random()
@@ -409,17 +555,24 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 17) -> list[tuple[str,
         if r.random() < 0.2:
             body += comments()
         if layout < 0.5:
-            core = f"<article>{body}</article>"
+            named = r.choice(["", "", "", ' class="post"', f' class="post {strange()}"', f' class="{strange()} entry"'])
+            core = f"<article{named}>{body}</article>"
         elif layout < 0.62:
             core = f"<main>{body}</main>"
         elif layout < 0.85:
             core = f'<div {r.choice(["class", "id"])}="{r.choice(["content", "post", "entry-content", "article-body", "story", "main"])}">{body}</div>'
         else:
             core = body
-        before = [f() for f in (header, nav, ad, notice, form, side) if r.random() < 0.4]
+        if r.random() < 0.15:
+            core = f'<div class="{strange()}">{core}</div>'
+        before = [f() for f in (header, nav, ad, notice, form, side, hidden) if r.random() < 0.4]
         after = [f() for f in (side, ad, form, comments, share, notice, footer) if r.random() < 0.4]
         r.shuffle(before)
-        pages.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(1, 8)}</title><style>p{{}}</style><script>var t=1</script></head><body>{''.join(before)}{'<!-- x -->' * (r.random() < 0.3)}{core}{''.join(after)}</body></html>")
+        whole = f"{''.join(before)}{'<!-- x -->' * (r.random() < 0.3)}{core}{''.join(after)}"
+        if r.random() < 0.15:
+            whole = r.choice(['<div class="{0}">{1}</div>', '<form id="{0}">{1}</form>']).format(strange(), whole)
+        named = f' class="{strange()}"' if r.random() < 0.3 else ""
+        pages.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(1, 8)}</title><style>p{{}}</style><script>var t=1</script></head><body{named}>{whole}</body></html>")
     return pages
 
 
@@ -437,9 +590,10 @@ def _states(nodes: list[Node]) -> list[int]:
     for x in nodes:
         a, b = amount[id(x)]
         out.append(int(b > a) if a or b else -1)
+    place = {id(x): i for i, x in enumerate(nodes)}
     for i, x in enumerate(nodes):  # what has no text is as its parent
         if out[i] < 0:
-            out[i] = out[nodes.index(x.parent)] if x.parent is not None else 0
+            out[i] = out[place[id(x.parent)]] if x.parent is not None else 0
     return out
 
 
