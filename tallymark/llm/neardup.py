@@ -12,10 +12,12 @@
    places (two sets differ in at least as many shingles as places, so no link is lost), for larger sets
    MinHash values (a link is more than DEVIATIONS off with probability below 1e-6).
 3. Candidates are confirmed on full sets, and confirmed links joined into components.
-
 4. Regions of more than WINDOW other rows that hold more than one component are searched on by
    ``crowded_pairs``: an exact prefix filter over the full sets of their rows, without a cap.
 
+Regions that hold more than a HOT_REGIONS-th of all rows are dealt over tasks by ranges of their order; pairs
+across the edges of ranges are found by step 4.
+
 Steps 2 and 3 run twice. The first pass uses few trees and only the nearest candidate of each row; it collapses
 dense groups into components. The second uses all trees and skips pairs that are already joined, so a
 group of thousands emits its spanning links and not its pairs.
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shipped, stored, table
+from .common import forget, joined_widely, shipped, stored, table
 
 TREES, DEPTH, LEAST = 20, 6, 3
 WINDOW = 96
@@ -48,6 +50,7 @@ EXTRA = 128  #: bytes of a set's summary, by which candidates are sifted
 SMALL = 1500  #: sets up to this size are summarised by parities, larger ones by MinHash values
 FIRST_TREES = 4
 RARITY = 1 << 20  #: places of the table of counts that orders shingles by how rare they are
+HOT_REGIONS = 16_384  #: no more regions than this are dealt over tasks
 CELL = 4096  #: rows of one shingle that are compared in one piece
 DEVIATIONS = 5.5  #: how far below its expectation a linked pair's estimate may be
 MOST_BITS = 1 << 27  #: of the bitmap that tells candidates' texts from others before they are shuffled
@@ -140,9 +143,23 @@ def linkable(na, nb, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     return np.where(np.maximum(na, nb) > SMALL, mixed | (alike >= least), apart <= (na + nb) * (1 - share) / (1 + share) + 1e-6)
 
 
-def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> DataFrame:
+def places(trees: int) -> F.Column:
+    """A struct (tree, region) for each tree of a row: rows of one region share LEAST values."""
+    return F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * LEAST) for t in range(trees)))).alias("tree", "region")
+
+
+def large_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tree, region, n of the regions that windows do not cover; and tree, region of those that hold so many
+    rows that they are dealt over tasks: more than a HOT_REGIONS-th of all, so fewer than HOT_REGIONS."""
+    large = stored(classes.select(places(TREES)).groupBy("tree", "region").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW + 1), "regions")
+    least = max(4 * WINDOW, TREES * classes.count() // HOT_REGIONS)
+    return large, stored(large.where(F.col("n") > least).select("tree", "region"), "hot-regions")
+
+
+def neighbours(classes: DataFrame, trees: int, nearest: int, share: float, hot: DataFrame) -> DataFrame:
     """Candidate pairs. classes: id, n_shingles, comp, trees, extra. nearest: how many candidates a
-    row keeps of a tree (0: all of its window)."""
+    row keeps of a tree (0: all of its window). hot: regions that no task gets as a whole; pairs across
+    the edges of their parts are left to ``crowded_pairs``."""
     rows = classes.select(
         "id", "n_shingles", "comp", "extra",
         F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(trees)))).alias("tree", "order"),
@@ -182,9 +199,17 @@ def neighbours(classes: DataFrame, trees: int, nearest: int, share: float) -> Da
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (found_a, found_b)], ["a", "b"])
 
-    cols = ["id", "n_shingles", "comp", "extra", "tree", "order"]
-    dealt = rows.select(*cols).repartition("tree", F.substring("order", 1, 4 * LEAST))
-    return dealt.sortWithinPartitions("tree", "order", "id").mapInArrow(scan, PAIRS).dropDuplicates(["a", "b"])
+    rows = rows.select("id", "n_shingles", "comp", "extra", "tree", "order", F.substring("order", 1, 4 * LEAST).alias("region"))
+
+    def scanned(dealt: DataFrame) -> DataFrame:
+        return dealt.sortWithinPartitions("tree", "order", "id").drop("region").mapInArrow(scan, PAIRS)
+
+    if hot.isEmpty():
+        found = scanned(rows.repartition("tree", "region"))
+    else:
+        part = lambda how: rows.join(F.broadcast(hot), ["tree", "region"], how).select(*rows.columns)
+        found = scanned(part("left_anti").repartition("tree", "region")).union(scanned(part("left_semi").repartitionByRange("tree", "order", "id")))
+    return found.dropDuplicates(["a", "b"])
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,14 +259,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, PAIRS)
 
 
-def crowded(classes: DataFrame) -> DataFrame:
-    """id of the rows in regions that windows do not cover: of more than WINDOW other rows, not all of
-    one component. classes: id, comp, trees."""
-    place = F.posexplode(F.array(*(F.substring("trees", 1 + 4 * DEPTH * t, 4 * LEAST) for t in range(TREES)))).alias("tree", "region")
-    rows = classes.select("id", "comp", place)
-    full = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    full = stored(full.where((F.col("n") > WINDOW + 1) & (F.col("lo") < F.col("hi"))).select("tree", "region"), "crowded")
-    return stored(rows.join(full, ["tree", "region"], "left_semi").select("id").distinct(), "crowd")
+def crowded(classes: DataFrame, large: DataFrame) -> DataFrame:
+    """id of the rows in large regions that are not all of one component. classes: id, comp, trees; large:
+    tree, region."""
+    rows = stored(classes.select("id", "comp", places(TREES)).join(large.select("tree", "region"), ["tree", "region"], "left_semi"), "crowd")
+    mixed = rows.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "region")
+    return stored(rows.join(mixed, ["tree", "region"], "left_semi").select("id").distinct(), "crowd")
 
 
 def crowded_pairs(classes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
@@ -352,7 +375,9 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         new = small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         new = stored(new, "links")
         edges, old = new, edges
-        if _same(edges, old):
+        same = _same(edges, old)
+        forget(old)
+        if same:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -372,23 +397,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = members.groupBy("set_hash").agg(F.min(F.struct("id", "n_shingles", "trees", "extra")).alias("x"))
     classes = stored(least.select("set_hash", "x.*", F.col("x.id").alias("comp")), "classes")
     first = classes.select("set_hash", F.col("id").alias("rep"))
-    links = stored(confirmed(stored(neighbours(classes, FIRST_TREES, 1, percent / 100), "near"), docs, id_col, text_col, k, percent), "links")
+    large, hot = large_regions(classes)
+    links = stored(confirmed(stored(neighbours(classes, FIRST_TREES, 1, percent / 100, hot), "near"), docs, id_col, text_col, k, percent), "links")
     joined = stored(components(links), "comps")
     now = classes.drop("comp").join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    more = confirmed(stored(neighbours(now, TREES, 0, percent / 100), "near"), docs, id_col, text_col, k, percent)
+    more = confirmed(stored(neighbours(now, TREES, 0, percent / 100, hot), "near"), docs, id_col, text_col, k, percent)
     links = stored(links.union(more), "links")
     comps = stored(components(links), "comps")
     now = classes.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    crowd = crowded(now)
+    crowd = crowded(now, large)
     if not crowd.isEmpty():
         found = stored(crowded_pairs(now, full_sets(crowd, docs, id_col, text_col, k), percent / 100), "near")
         comps = stored(components(links.union(confirmed(found, docs, id_col, text_col, k, percent))), "comps")
     of_set = first.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    return (
-        sketches.select("id", "n_shingles", "set_hash").join(of_set, "set_hash", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
+    # the set of a large group of copies is a hot key, and so is that of texts without words
+    found = joined_widely(sketches.select("id", "n_shingles", "set_hash"), of_set, "set_hash", F.xxhash64("id", "n_shingles"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
