@@ -81,8 +81,9 @@ def joined_widely(rows: DataFrame, dim: DataFrame, key: str, spread: Column, man
     near = stored(near.select(F.col(key).alias("__key"), F.struct(*others).alias("__near")), "hot")
     far = dim.select(F.col(key).alias("__key"), F.struct(*others).alias("__far"))
     x = rows.join(F.broadcast(near), F.col(key) == F.col("__key"), "left").drop("__key")
-    x = x.withColumn("__at", F.when(F.col(key).isNull() | F.col("__near").isNotNull(), F.unhex(F.hex(spread))).otherwise(F.col(key)))
-    x = x.join(far, F.col("__at") == F.col("__key"), "left").withColumn("__dim", F.coalesce("__near", "__far"))
+    apart = F.col(key).isNull() | F.col("__near").isNotNull()
+    x = x.withColumn("__at", F.when(apart, F.unhex(F.hex(spread))).otherwise(F.col(key)))
+    x = x.join(far, F.col("__at") == F.col("__key"), "left").withColumn("__dim", F.when(apart, F.col("__near")).otherwise(F.col("__far")))
     return x.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"__dim.`{c}`").alias(c) for c in others))
 
 
