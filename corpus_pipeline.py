@@ -19,7 +19,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the cut."""
     # the classifier learns from the documents that labels is about, whatever came before
     model = train(docs, table(spark, sf_dir, "labels"))
-    return toxicity(docs, model, "text", "_score").where(F.col("_score") < CUT).select(*docs.columns)
+    return toxicity(docs, model, "text", "__toxicity_score").where(F.col("__toxicity_score") < CUT).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
