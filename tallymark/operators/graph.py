@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import time_bucket
+from ..storage import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, source: str, nodes: DataFrame, directed: bool = False, most: int | None = None) -> DataFrame:
     """node, hops from source; null where unreachable. Breadth first: each round joins the frontier to
-    the edges and leaves out what was seen. Meant for registries, whose depth is small."""
+    the edges and leaves out what was seen, until no node is new (or to ``most`` hops where that is asked
+    for). No node is visited twice; there are as many rounds as the graph is deep."""
     both = edges.select("src", "dst").distinct() if directed else undirected(edges)
     seen = nodes.where(F.col("node") == source).select("node", F.lit(0).alias("hops"))
     frontier, level = seen, 0
@@ -23,7 +25,7 @@ def hops(edges: DataFrame, source: str, nodes: DataFrame, directed: bool = False
     while level < limit:
         level += 1
         step = frontier.select(F.col("node").alias("src")).join(both, "src").select(F.col("dst").alias("node")).distinct()
-        step = step.join(seen, "node", "left_anti").select("node", F.lit(level).alias("hops")).checkpoint()
+        step = cut(step.join(seen, "node", "left_anti").select("node", F.lit(level).alias("hops")))
         if step.isEmpty():
             break
         seen, frontier = seen.union(step), step

@@ -78,14 +78,14 @@ def phoenix_continuity(spark, sf_dir):
 @query(
     "legislative_financial_convergence",
     f"""WITH {TRANSFERS}, t AS (SELECT *, ['tag' || (transfer_id % 7), 'tag' || (transfer_id % 11)] AS tags FROM transfers),
-a AS (SELECT l_orderkey * 10 + l_linenumber AS action_id, 'c:' || (l_suppkey * 7) AS actor_id, epoch_us(l_shipdate) // 1000 AS ts_ms, ['tag' || (l_partkey % 13)] AS tags FROM lineitem WHERE l_linenumber = 1)
+a AS (SELECT l_orderkey * 10 + l_linenumber AS action_id, 'c:' || (l_suppkey * 7) AS actor_id, epoch_us(l_shipdate) // 1000 AS ts_ms, ['tag' || (l_partkey % 13)] AS tags FROM lineitem)
 SELECT a.actor_id, transfer_id, action_id, abs(t.ts_ms - a.ts_ms) // {DAY_MS} AS gap_days, array_to_string(list_sort(list_intersect(t.tags, a.tags)), ',') AS tags, 'high' AS severity
 FROM t JOIN a ON t.to_id = a.actor_id AND abs(t.ts_ms - a.ts_ms) <= {365 * DAY_MS} AND len(list_intersect(t.tags, a.tags)) > 0""",
 )
 def legislative_financial_convergence(spark, sf_dir):
     tag = lambda c: F.concat(F.lit("tag"), c.cast("string"))
     t = transfers(spark, sf_dir).withColumn("tags", F.array(tag(F.col("transfer_id") % 7), tag(F.col("transfer_id") % 11)))
-    a = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("action_id"), F.concat(F.lit("c:"), (F.col("l_suppkey") * 7).cast("string")).alias("actor_id"), epoch_ms("l_shipdate").alias("ts_ms"), F.array(tag(F.col("l_partkey") % 13)).alias("tags"))
+    a = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("action_id"), F.concat(F.lit("c:"), (F.col("l_suppkey") * 7).cast("string")).alias("actor_id"), epoch_ms("l_shipdate").alias("ts_ms"), F.array(tag(F.col("l_partkey") % 13)).alias("tags"))
     return integrity.legislative_overlap(t, a)
 
 

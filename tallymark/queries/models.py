@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None):
 
 @query(
     "stream_dimension_summary",
-    f"""WITH {OBS}, s AS (SELECT DISTINCT stream_id FROM obs UNION SELECT 'silent'), a AS (SELECT stream_id, count(*) AS n, count(DISTINCT entity) AS entities, min(ts_ms) AS first_ms FROM obs WHERE k < 50 GROUP BY ALL)
+    f"""WITH {OBS}, s AS (SELECT DISTINCT stream_id FROM obs UNION SELECT 'silent'), a AS (SELECT stream_id, count(*) AS n, count(DISTINCT entity) AS entities, min(ts_ms) AS first_ms FROM obs GROUP BY ALL)
 SELECT stream_id, coalesce(n, 0) AS n, entities, first_ms FROM s LEFT JOIN a USING (stream_id)""",
 )
 def stream_dimension_summary(spark, sf_dir):
     obs = observations(spark, sf_dir)
     dim = obs.select("stream_id").distinct().union(spark.range(1).select(F.lit("silent")))
-    return readmodels.dimension_summary(dim, obs.where("k < 50"), "stream_id", entities=F.count_distinct("entity"), first_ms=F.min("ts_ms"))
+    return readmodels.dimension_summary(dim, obs, "stream_id", entities=F.count_distinct("entity"), first_ms=F.min("ts_ms"))
 
 
 @query("signal_type_summary", f"""WITH {OBS} SELECT category, count(*) AS n, count(*) FILTER (confidence IS NOT NULL) AS with_confidence, round(avg(confidence), 9) AS average, count(DISTINCT stream_id) AS streams, max(ts_ms) AS newest_ms FROM obs GROUP BY category""")
@@ -140,12 +140,12 @@ def connector_status(spark, sf_dir):
 
 # --- candidates over runs ---
 
-_CANDS = f"""{OBS}, c AS (SELECT 'rule_' || (k % 4) AS rule_id, category AS signal_type, stream_id, jurisdiction_id, entity AS title, {sql_hash('"offset"')} AS candidate_hash, "offset" AS candidate_id, ts_ms AS seen_ms FROM obs WHERE k % 10 < 4),
+_CANDS = f"""{OBS}, c AS (SELECT 'rule_' || (k % 4) AS rule_id, category AS signal_type, stream_id, jurisdiction_id, entity AS title, {sql_hash('"offset"')} AS candidate_hash, "offset" AS candidate_id, ts_ms AS seen_ms FROM obs),
 keyed AS (SELECT *, {sql_hash('rule_id', 'signal_type', 'stream_id', 'jurisdiction_id', 'title')} AS semantic_key FROM c)"""
 
 
 def _cands(spark, sf_dir):
-    c = observations(spark, sf_dir).where("k % 10 < 4").select(F.concat(F.lit("rule_"), (F.col("k") % 4).cast("string")).alias("rule_id"), F.col("category").alias("signal_type"), "stream_id", "jurisdiction_id", F.col("entity").alias("title"), joined_hash(F.col("offset")).alias("candidate_hash"), F.col("offset").alias("candidate_id"), F.col("ts_ms").alias("seen_ms"))
+    c = observations(spark, sf_dir).select(F.concat(F.lit("rule_"), (F.col("k") % 4).cast("string")).alias("rule_id"), F.col("category").alias("signal_type"), "stream_id", "jurisdiction_id", F.col("entity").alias("title"), joined_hash(F.col("offset")).alias("candidate_hash"), F.col("offset").alias("candidate_id"), F.col("ts_ms").alias("seen_ms"))
     return c.withColumn("semantic_key", currentness.semantic_key())
 
 
@@ -226,14 +226,14 @@ def entity_relationships(spark, sf_dir):
 
 
 def _ring(spark, sf_dir):
-    """Nations of a region in a ring."""
-    w = W.partitionBy("n_regionkey").orderBy("n_nationkey")
-    n = read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.col("n_name").alias("node"))
+    """Nations but the last five in one ring, and those five in a ring of their own."""
+    w = W.partitionBy((F.col("n_nationkey") < 20).alias("ring")).orderBy("n_nationkey")
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("node"))
     nxt = n.withColumn("dst", F.coalesce(F.lead("node").over(w), F.first("node").over(w)))
     return n.select("node"), nxt.select(F.col("node").alias("src"), "dst")
 
 
-_RING = """ring AS (SELECT n_name AS src, coalesce(lead(n_name) OVER w, first_value(n_name) OVER w) AS dst FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))"""
+_RING = """ring AS (SELECT n_name AS src, coalesce(lead(n_name) OVER w, first_value(n_name) OVER w) AS dst FROM nation WINDOW w AS (PARTITION BY n_nationkey < 20 ORDER BY n_nationkey))"""
 
 
 @query(
@@ -242,18 +242,27 @@ _RING = """ring AS (SELECT n_name AS src, coalesce(lead(n_name) OVER w, first_va
 SELECT n_name AS node, min(hops) AS hops FROM nation LEFT JOIN walk ON walk.node = n_name GROUP BY n_name""",
 )
 def adjacency_hops(spark, sf_dir):
-    """Breadth-first search as a recursive query, which stops when no node is new within the depth cap."""
     nodes, edges = _ring(spark, sf_dir)
-    nodes.createOrReplaceTempView("_ring_nodes")
-    graph.undirected(edges).createOrReplaceTempView("_ring_edges")
-    return spark.sql("""WITH RECURSIVE walk(node, hops) AS (SELECT min(node), 0 FROM _ring_nodes UNION ALL SELECT e.dst, hops + 1 FROM walk JOIN _ring_edges e ON e.src = walk.node WHERE hops < 5)
-SELECT n.node, min(hops) AS hops FROM _ring_nodes n LEFT JOIN walk ON walk.node = n.node GROUP BY n.node""")
+    return graph.hops(edges, nodes.agg(F.min("node")).first()[0], nodes)
+
+
+@query(
+    "directed_hops",
+    f"""WITH RECURSIVE {_RING}, walk AS (SELECT (SELECT min(n_name) FROM nation) AS node, 0 AS hops UNION SELECT e.dst, hops + 1 FROM walk JOIN ring e ON e.src = walk.node WHERE hops < 26)
+SELECT n_name AS node, min(hops) AS hops FROM nation LEFT JOIN walk ON walk.node = n_name GROUP BY n_name""",
+)
+def directed_hops(spark, sf_dir):
+    nodes, edges = _ring(spark, sf_dir)
+    return graph.hops(edges, nodes.agg(F.min("node")).first()[0], nodes, directed=True)
 
 
 @query(
     "registry_faults",
-    """SELECT 'duplicate' AS fault, 'N1' AS subject UNION ALL SELECT 'coordinate_range', 'N24' UNION ALL SELECT 'one_way', n_name FROM (SELECT 'N' || n_nationkey || '>N' || ((n_nationkey + 1) % 25) AS n_name FROM nation)
-UNION ALL SELECT 'area_range', 'N0'""",
+    """WITH n AS (SELECT n_nationkey AS k, 'N' || n_nationkey AS node, n_nationkey * 3.8 AS lat, CAST(n_nationkey AS DOUBLE) AS area FROM nation), reg AS (SELECT * FROM n UNION ALL SELECT * FROM n WHERE k = 1),
+e AS (SELECT node AS src, 'N' || ((k + 1) % 25) AS dst FROM n)
+SELECT 'duplicate' AS fault, node AS subject FROM reg GROUP BY node HAVING count(*) > 1 UNION ALL SELECT 'coordinate_range', node FROM reg WHERE lat NOT BETWEEN -90 AND 90 UNION ALL SELECT 'area_range', node FROM reg WHERE area <= 0
+UNION ALL SELECT 'unknown_neighbour', dst FROM e WHERE dst NOT IN (SELECT node FROM reg) UNION ALL SELECT 'self', src FROM e WHERE src = dst
+UNION ALL SELECT 'one_way', src || '>' || dst FROM e WHERE (dst, src) NOT IN (SELECT (src, dst) FROM e)""",
 )
 def registry_faults(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
@@ -323,15 +332,28 @@ def temporal_fingerprint(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("entity").agg(F.count_distinct(day).alias("days"), F.min("ts_ms").alias("earliest_ms"), F.max("ts_ms").alias("latest_ms"), F.array_join(F.array_sort(F.collect_set(day)), ",").alias("listed"))
 
 
-@query("incremental_difference", """SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("incremental_difference", """SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'""")
 def incremental_difference(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    returned = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey").distinct().join(returned, "o_orderkey", "left_anti")
+
+
+# a key found again, a key with another hash, keys only here or only there
+_MERGE = """ex AS (SELECT o_custkey AS semantic_key, 'h' || (o_orderkey % 3) AS candidate_hash, min(o_orderkey) AS first_ms, max(o_orderkey) AS seen_ms FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+existing AS (SELECT *, candidate_hash = max(candidate_hash) OVER (PARTITION BY semantic_key) AS is_current, 'r1' AS last_run FROM ex),
+run AS (SELECT DISTINCT o_custkey AS semantic_key, 'h' || (o_orderkey % 4) AS candidate_hash FROM orders WHERE o_orderstatus = 'O'), newest AS (SELECT semantic_key, max(candidate_hash) AS new_hash FROM run GROUP BY ALL)"""
 
 
 @query(
-    "top_entities_document",
-    f"""WITH {OBS}, c AS (SELECT entity, count(*) AS n FROM obs GROUP BY entity ORDER BY n DESC, entity LIMIT 25) SELECT '[' || string_agg('{{"entity":"' || entity || '","n":' || n || '}}', ',' ORDER BY n DESC, entity) || ']' AS document FROM c""",
+    "candidate_upsert",
+    f"""WITH {_MERGE} SELECT semantic_key, candidate_hash, coalesce(e.first_ms, 9000000000) AS first_ms, CASE WHEN r.semantic_key IS NOT NULL THEN 9000000000 ELSE e.seen_ms END AS seen_ms,
+  CASE WHEN new_hash IS NULL THEN e.is_current ELSE candidate_hash = new_hash END AS is_current, CASE WHEN r.semantic_key IS NOT NULL THEN 'r2' ELSE e.last_run END AS last_run
+FROM existing e FULL JOIN run r USING (semantic_key, candidate_hash) LEFT JOIN newest n USING (semantic_key)""",
 )
-def top_entities_document(spark, sf_dir):
-    c = observations(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n"))
-    return readmodels.top_documents(c, [F.desc("n"), F.col("entity")], 25, "document")
+def candidate_upsert(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    hashed = lambda m: F.concat(F.lit("h"), (F.col("o_orderkey") % m).cast("string")).alias("candidate_hash")
+    ex = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("semantic_key"), hashed(3)).agg(F.min("o_orderkey").alias("first_ms"), F.max("o_orderkey").alias("seen_ms"))
+    ex = ex.withColumn("is_current", F.col("candidate_hash") == F.max("candidate_hash").over(W.partitionBy("semantic_key"))).withColumn("last_run", F.lit("r1"))
+    run = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("semantic_key"), hashed(4))
+    return currentness.merged(ex, run, "r2", 9_000_000_000)
