@@ -1,7 +1,12 @@
 """Forms, deadlines and agencies in free text, as column expressions.
 
-Places of matches come from the lengths of what lies between them, so positions need no Python. The word
-lists are parameters with defaults.
+A text is scanned for what speaks of a form; context windows around the matches that touch are merged into
+blocks; each block gives a form record with candidates, a confidence, a review status and flags; records of one
+text that agree in their composite key become one; staging tables list what reviewers need. Everything up to
+the records stays within a row, so nothing is shuffled before records are deduplicated.
+
+A pattern is only run where a plain word that it needs occurs; places come from the lengths of what lies
+between matches. The vocabularies are parameters with defaults.
 """
 
 from __future__ import annotations
@@ -12,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import squeezed, web_address
+from ..tables import joined_hash
+
 # The vocabulary that texts are searched for.
 ACTIONS = ("apply", "file", "submit", "complaint", "appeal", "request", "hearing", "petition", "intake", "report", "grievance", "claim", "dispute", "challenge", "objection", "reconsideration", "determination")
 INDICATORS = ("form", "request", "application", "complaint", "appeal", "notice", "filing", "petition", "claim form", "complaint form", "hearing request")
@@ -35,39 +43,100 @@ STAGES = {
     "hearing": ("hearing", "administrative hearing", "appeals hearing", "tribunal"),
     "escalation": ("grievance", "ombudsman", "supervisor review", "civil rights complaint", "court filing"),
 }
-JURISDICTIONS = {"CA": r"(?i:\bcalifornia\b)|\bCA\b", "NY": r"(?i:\bnew york\b)|\bNY\b", "TX": r"(?i:\btexas\b)|\bTX\b", "FL": r"(?i:\bflorida\b)|\bFL\b", "WA": r"(?i:\bwashington\b)|\bWA\b", "Federal": r"(?i:\bfederal\b|\bunited states\b|\bcongress\b)|\bU\.?S\b"}
-AGENCIES = {"EEOC": r"(?i)\bEEOC\b|Equal Employment Opportunity Commission", "CFPB": r"(?i)\bCFPB\b|Consumer Financial Protection Bureau|Bureau of Consumer Financial Protection"}
-# Patterns of deadlines, addresses on the web and telephone numbers.
+# Per jurisdiction its patterns, each of which counts once; with a lower-case word that a match holds.
+JURISDICTIONS = {
+    "CA": ((r"(?i)\bcalifornia\b", "california"), (r"\bCA\b", "ca"), (r"(?i)\bCal.\b", "cal")),
+    "NY": ((r"(?i)\bnew york\b", "new york"), (r"\bNY\b", "ny")),
+    "TX": ((r"(?i)\btexas\b", "texas"), (r"\bTX\b", "tx")),
+    "FL": ((r"(?i)\bflorida\b", "florida"), (r"\bFL\b", "fl")),
+    "WA": ((r"(?i)\bwashington\b", "washington"), (r"\bWA\b", "wa")),
+    "Federal": ((r"(?i)\bfederal\b", "federal"), (r"(?i)\bunited states\b", "united states"), (r"(?i)\bU.S.\b", "u"), (r"\bUS\b", "us"), (r"(?i)\bcongress\b", "congress"), (r"(?i)\bfederal law\b", "federal law")),
+}
+# Per agency its entity, the letters and phrases that name it (any case), its domains.
+AGENCIES = {
+    "EEOC": ("agency_federal_eeoc", ("EEOC",), ("Equal Employment Opportunity Commission",), ("wage", "legal")),
+    "CFPB": ("agency_federal_cfpb", ("CFPB",), ("Consumer Financial Protection Bureau", "Bureau of Consumer Financial Protection"), ("insurance", "legal")),
+    "FTC": ("agency_federal_ftc", ("FTC",), ("Federal Trade Commission",), ("legal",)),
+    "DOL": ("agency_federal_dol", ("DOL",), ("Department of Labor",), ("wage",)),
+    "HUD": ("agency_federal_hud", ("HUD",), ("Housing and Urban Development",), ("housing",)),
+    "SSA": ("agency_federal_ssa", ("SSA", "Social Security"), ("Social Security Administration",), ("benefits",)),
+    "OSHA": ("agency_federal_osha", ("OSHA",), ("Occupational Safety and Health Administration",), ("wage",)),
+    "NLRB": ("agency_federal_nlrb", ("NLRB",), ("National Labor Relations Board",), ("wage",)),
+    "DFPI": ("agency_ca_dfpi", ("DFPI",), ("Department of Financial Protection and Innovation",), ("insurance", "legal")),
+    "CRD": ("agency_ca_crd", ("CRD", "DFEH"), ("Civil Rights Department", "Department of Fair Employment and Housing"), ("housing", "wage", "legal")),
+    "DLSE": ("agency_ca_dlse", ("DLSE",), ("Division of Labor Standards Enforcement", "Labor Commissioner"), ("wage",)),
+    "EDD": ("agency_ca_edd", ("EDD",), ("Employment Development Department",), ("benefits",)),
+}
+# Patterns of deadlines (with a word that a match holds), addresses on the web, telephone numbers, streets and names of forms.
 _UNIT = r"(\d+)\s+(business\s+days?|days?|weeks?|months?|years?)\b"
 DEADLINES = (
-    rf"within\s+{_UNIT}",
-    rf"no\s+later\s+than\s+{_UNIT}",
-    rf"must\s+(?:file|submit|appeal|apply)\s+(?:your\s+)?(?:appeal|complaint|claim|application)?\s*within\s+{_UNIT}",
-    rf"deadline\s+(?:is|of|:)?\s*(?:no\s+later\s+than\s+)?{_UNIT}",
+    (rf"within\s+{_UNIT}", "within"),
+    (rf"no\s+later\s+than\s+{_UNIT}", "later"),
+    (rf"must\s+(?:file|submit|appeal|apply)\s+(?:your\s+)?(?:appeal|complaint|claim|application)?\s*within\s+{_UNIT}", "must"),
+    (rf"deadline\s+(?:is|of|:)?\s*(?:no\s+later\s+than\s+)?{_UNIT}", "deadline"),
+    (rf"appeal\s+within\s+{_UNIT}", "appeal"),
+    (rf"file\s+(?:your\s+)?(?:appeal|complaint|claim)\s+within\s+{_UNIT}", "file"),
 )
-URL = r"""https?://[^\s<>"{}|\\^`\[\]]+|www\.[^\s<>"{}|\\^`]+|\b[a-zA-Z0-9.-]+\.(?:gov|org|com|edu|net|us)(?:/[^\s<>"{}|\\^`\[\]]*)?"""
+URLS = (r"""https?://[^\s<>"{}|\\^`\[\]]+""", r"""www\.[^\s<>"{}|\\^`]+""", r"""\b[a-zA-Z0-9.-]+\.(?:gov|org|com|edu|net|us)(?:/[^\s<>"{}|\\^`\[\]]*)?""")
+URL = "|".join(URLS)
+DOTTED = (".gov", ".org", ".com", ".edu", ".net", ".us", "www.", "http")
 PHONE = r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
+STREET = r"\d+\s+[a-z0-9.'\-\s]+(?:st|street|ave|avenue|rd|road|blvd|boulevard|ln|lane|dr|drive|ct|court|pl|place|way|walk|circle|cir)\b"
+NAMES = (
+    r"\b([A-Z][A-Z0-9\s\-/&]{3,80}\b(?:FORM|COMPLAINT|APPEAL|APPLICATION|REQUEST|NOTICE|PETITION)\b[A-Z0-9\s\-/&]*)",
+    r"(?i)\b((?:Form|Request|Application|Complaint|Appeal|Notice|Filing|Petition)\s+(?:No\.|#)?[A-Z0-9\-\s/&]{2,80})",
+    r"\b([A-Z][A-Za-z\s\-/&]{2,80}\s+(?:Form|Complaint|Appeal|Application|Request|Notice|Petition))\b",
+)
+NAME_ACTIONS = ("apply", "file", "submit", "complaint", "appeal", "request")
+GAPS = ("no_intake_form", "no_appeal_form", "no_escalation_path", "no_deadline_signal", "no_live_source_candidate")
+ENGINE = "form_signals/3"
+SPOT = "struct<kind:string,value:string,start:int,end:int>"
+FOUND = "struct<value:string,confidence:double>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (kind, value, start, end) of a pattern's matches, in code points."""
+def matches(text: Column, pattern: str, kind: str, needs: Column | None = None, value: str | None = None) -> Column:
+    """Array of (kind, value, start, end) of a pattern's matches, in code points; value: what stands for all
+    of them. needs: a condition without which there are none."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.expr("cast(array() as array<struct<kind:string,value:string,start:int,end:int>>)")
+    none = F.expr(f"cast(array() as array<{SPOT}>)")
+    pairs = F.slice(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"))), 1, F.size(found))
+
+    def step(acc, x):
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["match"])
+        said = F.trim(x["match"]) if value is None else F.lit(value)
+        spot = F.struct(F.lit(kind).alias("kind"), said.alias("value"), start.alias("start"), (start + F.length(said)).alias("end"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(spot)).alias("out"))
+
+    got = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    has = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    return F.when(has, got).otherwise(none)
+
+
+def scan(text: Column, low: Column | None = None) -> Column:
+    """All matches of a text by place: urls, telephone numbers, streets, each word on actions and forms, also
+    within one another, and deadlines. low: the text in lower case."""
+    low = F.lower(text) if low is None else low
+    digit = text.rlike("[0-9]")
+    parts = [matches(text, p, "url", reduce(lambda a, b: a | b, (low.contains(d) for d in DOTTED))) for p in URLS]
+    parts += [matches(text, PHONE, "phone", digit), matches(text, rf"(?i){STREET}[^.\n]*", "address", digit)]
+    parts += [matches(text, rf"(?i)\b{w}\b", kind, low.contains(w), w) for kind, words in (("action_keyword", ACTIONS), ("form_indicator", INDICATORS)) for w in words]
+    parts += [matches(text, f"(?i){p}", "deadline", digit & low.contains(word)) for p, word in DEADLINES]
+    by_place = F.transform(F.array_distinct(F.concat(*parts)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.transform(F.array_sort(by_place), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end")))
 
-    def step(acc, i):
-        start = acc["at"] + F.length(gaps[i])
-        end = start + F.length(found[i])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), found[i].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    got = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), got).otherwise(none)
+def blocks(spots: Column, length: Column, reach: int = 500) -> Column:
+    """Array of (start, end): windows of ``reach`` around spots (by place), those that touch merged."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
 
+    def step(acc, s):
+        a, b = F.greatest(s["start"] - reach, F.lit(0)), F.least(s["end"] + reach, length)
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], b).alias("end"))))
+        return F.when((F.size(acc) > 0) & (last["end"] >= a), joined).otherwise(F.concat(acc, F.array(F.struct(a.alias("start"), b.alias("end")))))
 
-def scan(text: Column) -> Column:
-    """All matches of a text by place."""
-    word = lambda words: r"(?i)\b(?:" + "|".join(sorted(words, key=lambda w: -len(w))) + r")\b"
-    parts = [matches(text, URL, "url"), matches(text, PHONE, "phone"), matches(text, word(ACTIONS), "action_keyword"), matches(text, word(INDICATORS), "form_indicator"), matches(text, "(?i)" + DEADLINES[0], "deadline")]
-    return F.array_sort(F.array_distinct(F.concat(*parts)), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0))
+    return F.aggregate(spots, none, step)
 
 
 def windows(spots: DataFrame, key: str, reach: int = 500) -> DataFrame:
@@ -81,18 +150,20 @@ def windows(spots: DataFrame, key: str, reach: int = 500) -> DataFrame:
     return x.groupBy(key, "_i").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.count("*").alias("n")).drop("_i")
 
 
+def _ordered(found: list[tuple[Column, str, Column]]) -> Column:
+    """(condition, value, confidence) as an array of (value, confidence), surest first, then as listed."""
+    rows = [F.when(has, F.struct((-conf).alias("o"), F.lit(i).alias("i"), F.lit(value).alias("value"), conf.alias("confidence"))) for i, (has, value, conf) in enumerate(found)]
+    return F.transform(F.array_sort(F.array_compact(F.array(*rows))), lambda c: F.struct(c["value"].alias("value"), c["confidence"].alias("confidence")))
+
+
 def _hits(low: Column, words) -> Column:
     """How many of words occur. One expression over an array, so that generated code stays small."""
     return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)))
 
 
 def candidates(low: Column, lists: dict, base: float, step: float, most: float) -> Column:
-    """Names with a hit in a lower-case text, as name:confidence in order of name."""
-    out = []
-    for name, words in sorted(lists.items()):
-        n = _hits(low, words)
-        out.append(F.when(n > 0, F.concat(F.lit(name + ":"), F.format_string("%.2f", F.least(F.lit(most), base + step * n)))))
-    return F.array_compact(F.array(*out))
+    """What has a word in a lower-case text, with a confidence that grows with the words found."""
+    return _ordered([((n := _hits(low, words)) > 0, name, F.least(F.lit(most), base + step * n)) for name, words in lists.items()])
 
 
 def domains(low: Column) -> Column:
@@ -103,76 +174,164 @@ def stages(low: Column) -> Column:
     return candidates(low, STAGES, 0.45, 0.15, 0.9)
 
 
-def workflows(low: Column) -> Column:
-    """By groups of words that must all occur in a lower-case text."""
-    out = []
-    for name, groups in sorted(WORKFLOWS.items()):
-        n = F.size(F.filter(F.array(*(F.array(*map(F.lit, g)) for g in groups)), lambda g: F.forall(g, lambda w: low.contains(w))))
-        out.append(F.when(n > 0, F.concat(F.lit(name + ":"), F.format_string("%.2f", F.least(F.lit(0.95), 0.65 + 0.1 * n)))))
-    return F.array_compact(F.array(*out))
+def jurisdictions(text: Column, low: Column) -> Column:
+    """By how many of a jurisdiction's patterns match."""
+    count = lambda patterns: reduce(lambda a, b: a + b, ((low.contains(word) & text.rlike(p)).cast("int") for p, word in patterns))
+    return _ordered([((n := count(patterns)) > 0, name, F.least(F.lit(0.95), 0.5 + 0.2 * n)) for name, patterns in JURISDICTIONS.items()])
 
 
-def named(text: Column, patterns: dict) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), name) for name, p in sorted(patterns.items()))))
+def workflows(low: Column, californian: Column) -> Column:
+    """By groups of words that must all occur in a lower-case text; the first such group counts. Where
+    ``californian`` holds, each is also one of that state's."""
+    own, state = [], []
+    for name, groups in WORKFLOWS.items():
+        size = F.size(F.get(F.filter(F.array(*(F.array(*map(F.lit, g)) for g in groups)), lambda g: F.forall(g, lambda w: low.contains(w))), F.lit(0)))
+        sure = F.least(F.lit(0.95), 0.65 + 0.1 * size)
+        own.append((size > 0, name, sure))
+        state.append(((size > 0) & californian, f"ca_{name}", F.least(sure + 0.02, F.lit(0.97))))
+    return _ordered(own + state)
 
 
-def deadline(text: Column) -> Column:
-    """The first pattern that matches: (text, value, unit, days, confidence); null if none."""
-    out = F.lit(None)
-    for p in reversed(DEADLINES):
-        pattern = "(?i)" + p
-        unit = F.lower(F.regexp_extract(text, pattern, 2))
-        n = F.regexp_extract(text, pattern, 1).try_cast("int")
-        days = n * F.when(unit.startswith("week"), 7).when(unit.startswith("month"), 30).when(unit.startswith("year"), 365).otherwise(1)
-        one = F.struct(F.regexp_extract(text, pattern, 0).alias("text"), n.alias("value"), unit.alias("unit"), days.alias("days"), F.when(unit.startswith("business"), 0.75).otherwise(0.85).alias("confidence"))
-        out = F.when(text.rlike(pattern), one).otherwise(out)
-    return out
+def agencies(text: Column, low: Column) -> Column:
+    """Agencies that a text names, as listed."""
+    out = []
+    for name, (_, letters, phrases, _) in AGENCIES.items():
+        named = [low.contains(w.lower()) & text.rlike(rf"(?i)\b{w}\b") for w in letters] + [low.contains(p.lower()) for p in phrases]
+        out.append((reduce(lambda a, b: a | b, named), name, F.lit(0.9)))
+    return _ordered(out)
 
 
-def method(text: Column) -> Column:
-    return F.when(text.rlike(URL), "online").when(text.rlike(PHONE), "phone").when(text.rlike(r"(?i)\d+\s+[a-z0-9.'\s-]+(?:street|avenue|road|boulevard|lane|drive|court|place|way|walk|circle)\b"), "mail_or_in_person").otherwise("unknown")
+def deadline(text: Column, low: Column | None = None) -> Column:
+    """What the first of the patterns that occurs says: (text, value, unit, days, confidence); null if none
+    does."""
+    low = F.lower(text) if low is None else low
+    got = F.coalesce(*(F.when(low.contains(word), F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit(""))) for p, word in DEADLINES))
+    unit = F.lower(F.regexp_extract(got, f"(?i){_UNIT}", 2))
+    n = F.regexp_extract(got, f"(?i){_UNIT}", 1).try_cast("int")
+    days = n * F.when(unit.contains("day"), 1).when(unit.startswith("week"), 7).when(unit.startswith("month"), 30).when(unit.startswith("year"), 365).otherwise(1)
+    one = F.struct(got.alias("text"), n.alias("value"), unit.alias("unit"), days.alias("days"), F.when(unit.contains("business"), 0.75).otherwise(0.85).alias("confidence"))
+    return F.when(got.isNotNull(), one)
+
+
+def method(text: Column, low: Column) -> Column:
+    dotted = reduce(lambda a, b: a | b, (low.contains(d) for d in DOTTED))
+    digit = text.rlike("[0-9]")
+    return F.when(dotted & low.rlike(r"https?://|www\.|\.(?:gov|org|com|edu|net|us)\b"), "online").when(digit & text.rlike(PHONE), "phone").when(digit & text.rlike(f"(?i){STREET}"), "mail_or_in_person").otherwise("unknown")
 
 
 def form_name(text: Column) -> Column:
-    """A heading in capitals, a numbered form, or a titled phrase that ends in what it is."""
-    tries = (
-        r"\b([A-Z][A-Z0-9 \-/&]{3,80}\b(?:FORM|COMPLAINT|APPEAL|APPLICATION|REQUEST|NOTICE|PETITION)\b)",
-        r"\b([A-Z][A-Za-z \-/&]{2,80} (?:Form|Complaint|Appeal|Application|Request|Notice|Petition))\b",
-    )
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in tries))
+    """(name, strategy): a name in the text itself; else a heading around the first line with an address on
+    the web; else a label in the five lines before a word on actions. Null if none is there."""
+    explicit = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in NAMES))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)https?://|www\.|\.(?:gov|org|com|edu|net|us)\b")), F.lit(True)).cast("int")
+    first = F.greatest(at - 4, F.lit(1))
+    near = F.when(at > 0, F.get(F.filter(F.slice(lines, first, at + 2 - first), lambda x: x.rlike(r"^[A-Z][A-Za-z0-9\s\-/&]{5,90}$")), F.lit(0)))
+    word = rf"(?i)\b(?:{'|'.join(NAME_ACTIONS)})\b"
+    # each line beside the five before it
+    beside = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.slice(lines, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))).alias("before")))
+    label = F.transform(F.filter(beside, lambda b: b["line"].rlike(word)), lambda b: F.get(F.filter(b["before"], lambda p: p.rlike("^[A-Z]") & (F.length(p) > 5) & (F.length(p) < 100)), F.lit(0)))
+    label = F.get(F.array_compact(label), F.lit(0))
+    pair = lambda c, how: F.when(c.isNotNull(), F.struct(squeezed(c).alias("name"), F.lit(how).alias("strategy")))
+    return F.coalesce(pair(explicit, "explicit_form_heading"), F.when(text.contains("\n"), F.coalesce(pair(near, "heading_near_url"), pair(label, "label_before_action"))))
 
 
 def forms(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """A form record for each text: what was found, its confidence (0 to 6), review status and flags."""
     t, low = F.col("__text"), F.col("__low")
-    url = F.regexp_extract(t, URL, 0)
-    x = texts.select(key, F.col(text_col).alias("__text"), F.lower(text_col).alias("__low")).select(
-        key, F.nullif(F.regexp_replace(url, r"[).,;:]+$", ""), F.lit("")).alias("url"), form_name(t).alias("form_name"), workflows(low).alias("workflows"), named(t, AGENCIES).alias("agencies"),
-        domains(low).alias("domains"), stages(low).alias("stages"), named(t, JURISDICTIONS).alias("jurisdictions"), deadline(t).alias("d"), method(t).alias("method"))
+    rest = [c for c in texts.columns if c != text_col]
+    url = F.when(reduce(lambda a, b: a | b, (low.contains(d) for d in DOTTED)), F.nullif(F.regexp_replace(F.regexp_extract(t, f"(?i){URL}", 0), r"[).,;:]+$", ""), F.lit("")))
+    x = texts.select(*rest, F.col(text_col).alias("__text"), F.lower(text_col).alias("__low"))
+    x = x.select(*rest, "__text", "__low", url.alias("url"), form_name(t).alias("__name"), jurisdictions(t, low).alias("jurisdictions"), agencies(t, low).alias("agencies"), domains(low).alias("domains"), stages(low).alias("stages"), deadline(t, low).alias("d"), method(t, low).alias("method"))
+    x = x.select(
+        *rest, "url", web_address(F.col("url")).alias("normalized_url"), F.col("__name.name").alias("form_name"), F.col("__name.strategy").alias("strategy"), workflows(low, F.exists("jurisdictions", lambda j: j["value"] == "CA")).alias("workflows"),
+        "agencies", "domains", "stages", "jurisdictions", "d", "method", F.substring(squeezed(t), 1, 500).alias("excerpt"))
     has = lambda c: c.cast("double")
-    score = has(F.col("url").isNotNull()) + has(F.size("workflows") > 0) + has(F.size("agencies") > 0) + has(F.size("domains") > 0) + has(F.col("form_name").isNotNull()) + 0.5 * has(F.col("d.days").isNotNull()) + 0.5 * has(F.size("stages") > 0)
-    x = x.withColumn("confidence", F.least(score, F.lit(6.0)))
-    status = F.when((F.col("confidence") >= 4) & F.col("url").isNotNull() & (F.size("agencies") > 0), "pending_live_verification").when(F.col("confidence") >= 2, "pending_review").otherwise("pending_enrichment")
+    score = has(F.col("normalized_url").isNotNull()) + has(F.size("workflows") > 0) + has(F.size("agencies") > 0) + has(F.size("domains") > 0) + has(F.col("form_name").isNotNull()) + 0.5 * has(F.col("d.days").isNotNull()) + 0.5 * has(F.size("stages") > 0)
+    x = x.withColumn("confidence", F.coalesce(F.least(score, F.lit(6.0)), F.lit(0.0)))
+    status = F.when((F.col("confidence") >= 4) & F.col("normalized_url").isNotNull() & (F.size("agencies") > 0), "pending_live_verification").when(F.col("confidence") >= 2, "pending_review").otherwise("pending_enrichment")
     flags = {
-        "missing_url": F.col("url").isNull(), "missing_agency": F.size("agencies") == 0, "missing_workflow": F.size("workflows") == 0, "missing_domain": F.size("domains") == 0, "low_confidence": F.col("confidence") < 2,
+        "missing_url": F.col("normalized_url").isNull(), "missing_agency": F.size("agencies") <= 0, "missing_workflow": F.size("workflows") <= 0, "missing_domain": F.size("domains") <= 0, "low_confidence": F.col("confidence") < 2,
         "multiple_domains": F.size("domains") > 1, "multiple_workflows": F.size("workflows") > 1, "multiple_agencies": F.size("agencies") > 1, "has_deadline": F.col("d.days").isNotNull(), "deadline_unit_not_days": F.col("d.unit").isNotNull() & ~F.col("d.unit").contains("day"),
-        "ambiguous_jurisdiction": F.size("jurisdictions") > 1}
+        "ambiguous_jurisdiction": F.size("jurisdictions") > 1, "requires_live_url_verification": F.col("normalized_url").isNotNull(), "requires_registry_entity_resolution": F.lit(False)}
     return x.withColumn("status", status).withColumn("flags", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items()))), ","))
 
 
-def deduplicated(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """One form for each composite key: the surest (then the smallest key), with everyone's candidates."""
-    w = W.partitionBy(*keys).orderBy(F.desc("confidence"), key)
-    best = rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i", "domains", "workflows")
-    each = rows.groupBy(*keys).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("domains", "workflows")))
+KEY = ("normalized_url", "form_key", "agency", "workflow", "stage")
+
+
+def extracted(texts: DataFrame, key: str, text_col: str, reach: int = 500) -> DataFrame:
+    """Form records of texts: one for each block of context, those of a text with one composite key as one.
+    key, form_id, start, end and the columns of ``forms``."""
+    text = F.col("__t")
+    x = texts.select(F.col(key), F.col(text_col).alias("__t")).withColumn("__spots", scan(text))
+    x = x.withColumn("__b", F.explode(blocks(F.col("__spots"), F.length(text), reach)))
+    x = x.select(key, F.col("__b.start").alias("start"), F.col("__b.end").alias("end"), F.sha2(text.cast("binary"), 256).alias("source_hash"), F.substring(text, F.col("__b.start") + 1, F.col("__b.end") - F.col("__b.start")).alias("__part"))
+    x = forms(x.withColumn("context_hash", joined_hash(F.col("source_hash"), F.col("start"), F.col("end"), F.col("__part"))), key, "__part")
+    x = x.withColumn("form_id", joined_hash(F.col("source_hash"), F.col("context_hash"), F.lit(ENGINE)))
+    x = x.withColumn("form_key", F.lower(F.regexp_replace("form_name", "[^A-Za-z0-9]+", "_")))
+    first = lambda c: F.get(F.col(c), F.lit(0))["value"]
+    x = x.withColumn("agency", first("agencies")).withColumn("workflow", first("workflows")).withColumn("stage", first("stages")).withColumn("domain", first("domains")).withColumn("jurisdiction", first("jurisdictions"))
+    return deduplicated(x, [key, *KEY], "start")
+
+
+def deduplicated(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """One form for each composite key: the surest (then the smallest ``tie``), with everyone's candidates
+    and how many there were."""
+    w = W.partitionBy(*keys).orderBy(F.desc("confidence"), tie)
+    lists = [c for c in ("domains", "workflows", "agencies", "jurisdictions", "stages") if c in rows.columns]
+    best = rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i", *lists)
+    everyone = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    each = rows.groupBy(*keys).agg(F.count("*").alias("group_size"), *map(everyone, lists))
     on = reduce(lambda a, b: a & b, (F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
-    return best.alias("b").join(each.alias("e"), on).select("b.*", "e.domains", "e.workflows")
-
-
-def coverage(found: DataFrame, expected: list[str]) -> DataFrame:
-    """expected workflows with what is missing for each: found: workflow, has_url, has_agency, has_deadline."""
-    spark = found.sparkSession
-    got = found.groupBy("workflow").agg(F.count("*").alias("n"), *(F.bool_or(c).alias(c) for c in ("has_url", "has_agency", "has_deadline")))
+    return best.alias("b").join(each.alias("e"), on).select("b.*", "e.group_size", *(f"e.{c}" for c in lists))
+
+
+def review_priority(days: Column, confidence: Column, url: Column, flags: Column) -> Column:
+    """A near deadline first; then what is sure and has an address, or lacks a workflow or an agency."""
+    lacks = flags.contains("missing_workflow") | flags.contains("missing_agency")
+    return F.when(days <= 30, "high").when((confidence >= 4) & url.isNotNull(), "medium").when(lacks, "medium").otherwise("low")
+
+
+def staging(records: DataFrame, key: str, run_id: str) -> dict[str, DataFrame]:
+    """The seven tables that reviewers and later stages read, from what ``extracted`` gives."""
+    facts = F.create_map(*(F.lit(v) for name, (entity, _, _, _) in AGENCIES.items() for v in (name, entity)))
+    own = F.create_map(*(v for name, (_, _, _, domains_) in AGENCIES.items() for v in (F.lit(name), F.lit(",".join(domains_)))))
+    each = lambda c: records.select(key, "form_id", F.explode(c).alias("c")).select(key, "form_id", "c.*")
+    state = F.col("value").startswith("ca_")
+    reasons = F.regexp_replace("flags", ",", ", ")
+    return {
+        "forms": records.select(key, "form_id", F.lit(run_id).alias("run_id"), "form_name", "strategy", "form_key", "url", "normalized_url", "method", "agency", facts[F.col("agency")].alias("agency_entity"), "jurisdiction", F.col("domain").alias("primary_domain"),
+                                F.col("workflow").alias("primary_workflow"), F.col("stage").alias("primary_stage"), F.col("d.days").alias("deadline_days"), F.col("d.unit").alias("deadline_unit"), "confidence", "status", "flags", "context_hash", "source_hash", "excerpt"),
+        "agencies": each("agencies").select(key, "form_id", F.col("value").alias("agency"), facts[F.col("value")].alias("agency_entity"), own[F.col("value")].alias("domains"), "confidence"),
+        "workflows": each("workflows").select(key, "form_id", F.col("value").alias("workflow"), "confidence", state.alias("of_state"), F.when(state, F.substring("value", 4, 200)).otherwise(F.col("value")).alias("base_workflow")),
+        "domains": each("domains").select(key, "form_id", F.col("value").alias("domain"), "confidence"),
+        "deadlines": records.where("d.days is not null").select(key, "form_id", F.col("d.text").alias("text"), F.col("d.value").alias("value"), F.col("d.unit").alias("unit"), F.col("d.days").alias("days"), F.col("d.confidence").alias("confidence"), F.lit(True).alias("requires_legal_verification")),
+        "provenance": records.select(key, "form_id", F.lit(run_id).alias("run_id"), "source_hash", "context_hash", "start", "end", F.lit(ENGINE).alias("engine"), F.lit(True).alias("deterministic")),
+        "reviews": records.where("flags <> ''").select(key, "form_id", "status", "flags", "confidence", review_priority(F.col("d.days"), F.col("confidence"), F.col("normalized_url"), F.col("flags")).alias("priority"), reasons.alias("reason")),
+    }
+
+
+def statistics(records: DataFrame, least: float = 2.0) -> DataFrame:
+    """group, name, n: records by domain, workflow, jurisdiction and status, all, and those sure enough; and
+    their average confidence as a thousandfold whole number."""
+    as_group = lambda group, c: F.transform(c, lambda v: F.struct(F.lit(group).alias("group"), v["value"].alias("name")))
+    listed = F.concat(as_group("domain", "domains"), as_group("workflow", "workflows"), as_group("jurisdiction", "jurisdictions"))
+    status = F.array(F.struct(F.lit("status").alias("group"), F.col("status").alias("name")))
+    by = records.select(F.inline(F.concat(listed, status))).groupBy("group", "name").agg(F.count("*").alias("n"))
+    whole = records.agg(F.count("*").alias("all"), F.count_if(F.col("confidence") >= least).alias("sure"), F.round(F.avg("confidence") * 1000).cast("long").alias("mean"))
+    rows = F.array(*(F.struct(F.lit("total").alias("group"), F.lit(n).alias("name"), F.col(c).alias("n")) for n, c in (("forms", "all"), ("high_confidence", "sure"), ("mean_confidence_milli", "mean"))))
+    return by.union(whole.select(F.inline(rows)))
+
+
+def coverage(records: DataFrame, expected: list[str] | None = None) -> DataFrame:
+    """expected workflows (by default all, and all as a state's) with n, and which of GAPS each has."""
+    spark = records.sparkSession
+    expected = expected or [*WORKFLOWS, *(f"ca_{w}" for w in WORKFLOWS)]
+    staged = lambda *s: F.exists("stages", lambda x: x["value"].isin(*s))
+    name = F.lower(F.coalesce("form_name", F.lit("")))
+    have = (staged("intake") | (F.size("domains") > 0), staged("appeal") | name.contains("appeal"), staged("hearing", "escalation") | name.rlike("hearing|grievance|ombudsman"), F.col("d.days").isNotNull(), F.col("normalized_url").isNotNull())
+    got = records.select(F.explode("workflows").alias("w"), *(c.alias(g) for g, c in zip(GAPS, have))).groupBy(F.col("w.value").alias("workflow")).agg(F.count("*").alias("n"), *(F.bool_or(g).alias(g) for g in GAPS))
     x = spark.createDataFrame([(e,) for e in expected], "workflow string").join(got, "workflow", "left").na.fill(0, ["n"])
-    gaps = F.array_compact(F.array(F.when(F.col("n") == 0, F.lit("no_forms")), *(F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(c.replace("has_", "no_"))) for c in ("has_url", "has_agency", "has_deadline"))))
+    gaps = F.array_compact(F.array(*(F.when(~F.coalesce(F.col(g), F.lit(False)), F.lit(g)) for g in GAPS)))
     return x.select("workflow", "n", F.array_join(gaps, ",").alias("gaps"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import forms
@@ -124,45 +126,91 @@ def normalized_facilities(spark, sf_dir):
 def _letters(spark, sf_dir):
     """Letters written from orders by a template, as the tables hold no such text."""
     k, unit = F.col("o_orderkey"), F.element_at(F.array(*map(F.lit, ("days", "weeks", "business days", "months"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    part = lambda *cases: reduce(lambda w, c: w.when(c[0], c[1]), cases[1:], F.when(*cases[0])).otherwise("")
     body = F.concat(
-        F.when(k % 3 == 0, "WAGE CLAIM FORM. ").otherwise(""), F.lit("You must file an appeal within "), (k % 60 + 1).cast("string"), F.lit(" "), unit, F.lit(" of the notice. "),
+        part((k % 3 == 0, "WAGE CLAIM FORM. ")), F.when(k % 9 == 5, "Reply no later than ").when(k % 9 == 6, "Your deadline is ").otherwise("You must file an appeal within "), (k % 60 + 1).cast("string"), F.lit(" "), unit, F.lit(" of the notice. "),
         F.when(k % 2 == 0, F.lit("The tenant faces eviction in California. ")).otherwise("Unpaid wages and overtime are a wage theft matter. "), F.when(k % 5 == 0, F.concat(F.lit("See https://forms.example.gov/a/"), k.cast("string"), F.lit("). "))).otherwise(""),
-        F.when(k % 7 == 0, "Ask the EEOC. ").otherwise(""))
+        part((k % 7 == 0, "Ask the EEOC. "), (k % 7 == 1, "Ask the Department of Labor or the FTC. "), (k % 7 == 2, "A claim form and a hearing request are enclosed, see federal law. ")),
+        part((k % 11 == 0, "Come to 12 Main Street, Tacoma. "), (k % 11 == 1, "Phone 206-555-0100. ")))
     return read(spark, sf_dir, "orders").select(k.alias("letter"), body.alias("text"))
 
 
-_LETTERS = """letters AS (SELECT o_orderkey AS letter, CASE WHEN o_orderkey % 3 = 0 THEN 'WAGE CLAIM FORM. ' ELSE '' END || 'You must file an appeal within ' || (o_orderkey % 60 + 1) || ' ' || ['days', 'weeks', 'business days', 'months'][o_orderkey % 4 + 1] || ' of the notice. ' ||
-  CASE WHEN o_orderkey % 2 = 0 THEN 'The tenant faces eviction in California. ' ELSE 'Unpaid wages and overtime are a wage theft matter. ' END || CASE WHEN o_orderkey % 5 = 0 THEN 'See https://forms.example.gov/a/' || o_orderkey || '). ' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN 'Ask the EEOC. ' ELSE '' END AS text, o_orderkey AS k FROM orders)"""
+_LETTERS = """letters AS (SELECT o_orderkey AS letter, text, lower(text) AS low FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'WAGE CLAIM FORM. ' ELSE '' END || CASE o_orderkey % 9 WHEN 5 THEN 'Reply no later than ' WHEN 6 THEN 'Your deadline is ' ELSE 'You must file an appeal within ' END ||
+  (o_orderkey % 60 + 1) || ' ' || ['days', 'weeks', 'business days', 'months'][o_orderkey % 4 + 1] || ' of the notice. ' || CASE WHEN o_orderkey % 2 = 0 THEN 'The tenant faces eviction in California. ' ELSE 'Unpaid wages and overtime are a wage theft matter. ' END ||
+  CASE WHEN o_orderkey % 5 = 0 THEN 'See https://forms.example.gov/a/' || o_orderkey || '). ' ELSE '' END || CASE o_orderkey % 7 WHEN 0 THEN 'Ask the EEOC. ' WHEN 1 THEN 'Ask the Department of Labor or the FTC. ' WHEN 2 THEN 'A claim form and a hearing request are enclosed, see federal law. ' ELSE '' END ||
+  CASE o_orderkey % 11 WHEN 0 THEN 'Come to 12 Main Street, Tacoma. ' WHEN 1 THEN 'Phone 206-555-0100. ' ELSE '' END AS text FROM orders))"""
 
 
-@query(
-    "form_deadlines",
-    f"""WITH {_LETTERS} SELECT letter, regexp_extract(text, 'within \\d+ [a-z ]*?(?:days|weeks|months)') AS text, CAST(k % 60 + 1 AS INT) AS value, ['days', 'weeks', 'business days', 'months'][k % 4 + 1] AS unit, CAST((k % 60 + 1) * [1, 7, 1, 30][k % 4 + 1] AS INT) AS days,
-  CAST(CASE WHEN k % 4 = 2 THEN 0.75 ELSE 0.85 END AS DOUBLE) AS confidence FROM letters""",
-)
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _sql_found(rows) -> str:
+    """(condition, name, confidence) in SQL as a list of structs, surest first."""
+    items = ", ".join(f"CASE WHEN {has} THEN {{'o': -({conf})::DOUBLE, 'i': {i}, 'v': '{name}', 'c': ({conf})::DOUBLE}} END" for i, (has, name, conf) in enumerate(rows))
+    return f"list_sort(list_filter([{items}], lambda x: x IS NOT NULL))"
+
+
+def _sql_words(lists, base, step, most) -> str:
+    count = lambda words: "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(low, w)))"
+    return _sql_found([(f"{count(words)} > 0", name, f"least({most}, {base} + {step} * {count(words)})") for name, words in lists.items()])
+
+
+def _sql_workflows() -> str:
+    fits = lambda g: " AND ".join(f"contains(low, '{w}')" for w in g)
+    sure = lambda groups: "CASE " + " ".join(f"WHEN {fits(g)} THEN least(0.95, 0.65 + 0.1 * {len(g)})" for g in groups) + " END"
+    own = [(f"{sure(g)} IS NOT NULL", name, sure(g)) for name, g in forms.WORKFLOWS.items()]
+    return _sql_found(own + [(f"{has} AND contains(low, 'california')", f"ca_{name}", f"least({conf} + 0.02, 0.97)") for has, name, conf in own])
+
+
+_RECORDS = f"""{_LETTERS}, found AS (SELECT *, coalesce({', '.join(f"nullif(regexp_extract(text, '(?i){_q(p)}', 0), '')" for p, _ in forms.DEADLINES)}) AS d,
+  nullif(regexp_replace(regexp_extract(text, '(?i){_q(forms.URL)}', 0), '[).,;:]+$', ''), '') AS url, trim(regexp_replace(coalesce({', '.join(f"nullif(regexp_extract(text, '{_q(p)}', 1), '')" for p in forms.NAMES)}), '\\s+', ' ', 'g')) AS form_name,
+  {_sql_workflows()} AS workflows, {_sql_found([(' OR '.join([f"regexp_matches(text, '(?i)\\b{w}\\b')" for w in a[1]] + [f"contains(low, '{w.lower()}')" for w in a[2]]), name, '0.9') for name, a in forms.AGENCIES.items()])} AS agencies,
+  {_sql_words(forms.DOMAINS, 0.35, 0.15, 0.95)} AS domains, {_sql_words(forms.STAGES, 0.45, 0.15, 0.9)} AS stages,
+  {_sql_found([(f"{' OR '.join(f'regexp_matches(text, {chr(39)}{_q(p)}{chr(39)})' for p, _ in ps)}", name, f"least(0.95, 0.5 + 0.2 * ({' + '.join(f'regexp_matches(text, {chr(39)}{_q(p)}{chr(39)})::INT' for p, _ in ps)}))") for name, ps in forms.JURISDICTIONS.items()])} AS jurisdictions,
+  CASE WHEN regexp_matches(low, 'https?://|www\\.|\\.(?:gov|org|com|edu|net|us)\\b') THEN 'online' WHEN regexp_matches(text, '{forms.PHONE}') THEN 'phone' WHEN regexp_matches(text, '(?i){_q(forms.STREET)}') THEN 'mail_or_in_person' ELSE 'unknown' END AS method FROM letters),
+dated AS (SELECT *, CAST(regexp_extract(d, '(\\d+)\\s', 1) AS INT) AS value, lower(regexp_extract(d, '(business\\s+days?|days?|weeks?|months?|years?)$', 1)) AS unit FROM found),
+scored AS (SELECT *, CAST(value * CASE WHEN contains(unit, 'day') THEN 1 WHEN unit LIKE 'week%' THEN 7 WHEN unit LIKE 'month%' THEN 30 ELSE 365 END AS INT) AS days,
+  ((url IS NOT NULL)::INT + (len(workflows) > 0)::INT + (len(agencies) > 0)::INT + (len(domains) > 0)::INT + (form_name IS NOT NULL)::INT + 0.5 * (d IS NOT NULL)::INT + 0.5 * (len(stages) > 0)::INT)::DOUBLE AS confidence FROM dated),
+flagged AS (SELECT *, CASE WHEN confidence >= 4 AND url IS NOT NULL AND len(agencies) > 0 THEN 'pending_live_verification' WHEN confidence >= 2 THEN 'pending_review' ELSE 'pending_enrichment' END AS status,
+  array_to_string(list_filter([CASE WHEN url IS NULL THEN 'missing_url' END, CASE WHEN len(agencies) = 0 THEN 'missing_agency' END, CASE WHEN len(workflows) = 0 THEN 'missing_workflow' END, CASE WHEN len(domains) = 0 THEN 'missing_domain' END, CASE WHEN confidence < 2 THEN 'low_confidence' END,
+    CASE WHEN len(domains) > 1 THEN 'multiple_domains' END, CASE WHEN len(workflows) > 1 THEN 'multiple_workflows' END, CASE WHEN len(agencies) > 1 THEN 'multiple_agencies' END, CASE WHEN days IS NOT NULL THEN 'has_deadline' END, CASE WHEN NOT contains(unit, 'day') THEN 'deadline_unit_not_days' END,
+    CASE WHEN len(jurisdictions) > 1 THEN 'ambiguous_jurisdiction' END, CASE WHEN url IS NOT NULL THEN 'requires_live_url_verification' END], lambda x: x IS NOT NULL), ',') AS flags FROM scored)"""
+_SQL_TEXT = lambda c: f"array_to_string(list_transform({c}, lambda x: x.v || ':' || printf('%.2f', x.c)), ',') AS {c}"
+
+
+def _text(c: str):
+    return F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), F.format_string("%.2f", x["confidence"]))), ",").alias(c)
+
+
+_LISTS = ("workflows", "agencies", "domains", "stages", "jurisdictions")
+
+
+@query("form_deadlines", f"WITH {_RECORDS} SELECT letter, d AS text, value, unit, days, CAST(CASE WHEN contains(unit, 'business') THEN 0.75 ELSE 0.85 END AS DOUBLE) AS confidence FROM scored")
 def form_deadlines(spark, sf_dir):
     return _letters(spark, sf_dir).select("letter", forms.deadline(F.col("text")).alias("d")).select("letter", "d.*")
 
 
-@query(
-    "form_records",
-    f"""WITH {_LETTERS}, x AS (SELECT letter, k, CASE WHEN k % 5 = 0 THEN 'https://forms.example.gov/a/' || k END AS url, CASE WHEN k % 3 = 0 THEN 'WAGE CLAIM FORM' END AS form_name, k % 7 = 0 AS agency FROM letters),
-c AS (SELECT *, (CASE WHEN url IS NOT NULL THEN 1 ELSE 0 END + 1 + CASE WHEN agency THEN 1 ELSE 0 END + 1 + CASE WHEN form_name IS NOT NULL THEN 1 ELSE 0 END + 0.5 + 0.5)::DOUBLE AS confidence FROM x)
-SELECT letter, url, form_name, CASE WHEN k % 2 = 0 THEN 'housing_violation' ELSE 'wage_theft' END AS workflow, confidence, CASE WHEN confidence >= 4 AND url IS NOT NULL AND agency THEN 'pending_live_verification' ELSE 'pending_review' END AS status, CASE WHEN url IS NOT NULL THEN 'online' ELSE 'unknown' END AS method FROM c""",
-)
+@query("form_records", f"WITH {_RECORDS} SELECT letter, url, form_name, {', '.join(map(_SQL_TEXT, _LISTS))}, confidence, status, method, flags FROM flagged")
 def form_records(spark, sf_dir):
     x = forms.forms(_letters(spark, sf_dir), "letter", "text")
-    return x.select("letter", "url", "form_name", F.substring_index(F.col("workflows")[0], ":", 1).alias("workflow"), "confidence", "status", "method")
+    return x.select("letter", "url", "form_name", *map(_text, _LISTS), "confidence", "status", "method", "flags")
+
+
+_SPOT_WORDS = [(kind, w) for kind, words in (("action_keyword", forms.ACTIONS), ("form_indicator", forms.INDICATORS)) for w in words]
 
 
 @query(
     "form_match_spots",
-    f"""WITH {_LETTERS} SELECT letter, CAST(strpos(text, 'within') - 1 AS INT) AS deadline_at, CAST(CASE WHEN k % 5 = 0 THEN strpos(text, 'https') - 1 END AS INT) AS url_at FROM letters""",
+    f"""WITH {_LETTERS}, p AS (SELECT unnest([{', '.join(f"{{'kind': '{k}', 'p': '(?i)\\b{w}\\b', 'w': '{w}'}}" for k, w in _SPOT_WORDS)}, {', '.join(f"{{'kind': 'url', 'p': '(?i){_q(u)}', 'w': NULL}}" for u in forms.URLS)}, {{'kind': 'phone', 'p': '{forms.PHONE}', 'w': NULL}},
+  {{'kind': 'address', 'p': '(?i){_q(forms.STREET)}[^.\n]*', 'w': NULL}}, {', '.join(f"{{'kind': 'deadline', 'p': '(?i){_q(d)}', 'w': NULL}}" for d, _ in forms.DEADLINES)}], recursive := true)),
+m AS (SELECT letter, kind, w, regexp_extract_all(text, p.p) AS found, string_split_regex(text, p.p) AS gaps FROM letters, p WHERE regexp_matches(text, p.p)),
+s AS (SELECT letter, kind, w, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM m),
+d AS (SELECT DISTINCT letter, kind, coalesce(w, trim(found[i])) AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM s)
+SELECT letter, kind, value, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS "end" FROM d""",
 )
 def form_match_spots(spark, sf_dir):
-    m = _letters(spark, sf_dir).select("letter", forms.scan(F.col("text")).alias("m"))
-    at = lambda kind: F.get(F.filter("m", lambda s: s["kind"] == kind), F.lit(0))["start"]
-    return m.select("letter", at("deadline").alias("deadline_at"), at("url").alias("url_at"))
+    return _letters(spark, sf_dir).select("letter", F.inline(forms.scan(F.col("text"))))
 
 
 @query(
@@ -178,13 +226,68 @@ def context_windows(spark, sf_dir):
     return forms.windows(x, "l_orderkey")
 
 
+_GAPS_SQL = f"""WITH {_RECORDS}, e AS (SELECT *, unnest(list_transform(workflows, lambda x: x.v)) AS workflow, list_transform(stages, lambda x: x.v) AS st FROM flagged),
+g AS (SELECT workflow, count(*) AS n, bool_or(list_contains(st, 'intake') OR len(domains) > 0) AS a, bool_or(list_contains(st, 'appeal') OR contains(lower(form_name), 'appeal')) AS b,
+  bool_or(list_contains(st, 'hearing') OR list_contains(st, 'escalation') OR regexp_matches(lower(coalesce(form_name, '')), 'hearing|grievance|ombudsman')) AS c, bool_or(days IS NOT NULL) AS d, bool_or(url IS NOT NULL) AS u FROM e GROUP BY workflow),
+w AS (SELECT unnest([{', '.join(f"'{x}'" for x in [*forms.WORKFLOWS, *(f'ca_{w}' for w in forms.WORKFLOWS)])}]) AS workflow)
+SELECT workflow, coalesce(n, 0) AS n, array_to_string(list_filter([{', '.join(f"CASE WHEN NOT coalesce({c}, false) THEN '{g}' END" for c, g in zip('abcdu', forms.GAPS))}], lambda x: x IS NOT NULL), ',') AS gaps FROM w LEFT JOIN g USING (workflow)"""
+
+
+@query("form_coverage", _GAPS_SQL)
+def form_coverage(spark, sf_dir):
+    return forms.coverage(forms.forms(_letters(spark, sf_dir), "letter", "text"))
+
+
 @query(
-    "form_coverage",
-    f"""WITH {_LETTERS}, f AS (SELECT CASE WHEN k % 2 = 0 THEN 'housing_violation' ELSE 'wage_theft' END AS workflow, k % 5 = 0 AS u, k % 7 = 0 AS a FROM letters), g AS (SELECT workflow, count(*) AS n, bool_or(u) AS u, bool_or(a) AS a FROM f GROUP BY ALL),
-w AS (SELECT unnest(['insurance_denial', 'housing_violation', 'wage_theft', 'benefits_denial']) AS workflow)
-SELECT workflow, coalesce(n, 0) AS n, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'no_forms' END, CASE WHEN NOT coalesce(u, false) THEN 'no_url' END, CASE WHEN NOT coalesce(a, false) THEN 'no_agency' END, CASE WHEN n IS NULL THEN 'no_deadline' END], lambda r: r IS NOT NULL), ',') AS gaps FROM w LEFT JOIN g USING (workflow)""",
+    "form_statistics",
+    f"""WITH {_RECORDS}, l AS (SELECT 'domain' AS "group", unnest(list_transform(domains, lambda x: x.v)) AS name FROM flagged UNION ALL SELECT 'workflow', unnest(list_transform(workflows, lambda x: x.v)) FROM flagged
+  UNION ALL SELECT 'jurisdiction', unnest(list_transform(jurisdictions, lambda x: x.v)) FROM flagged UNION ALL SELECT 'status', status FROM flagged)
+SELECT "group", name, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'total', 'forms', count(*) FROM flagged UNION ALL SELECT 'total', 'high_confidence', count(*) FROM flagged WHERE confidence >= 2
+UNION ALL SELECT 'total', 'mean_confidence_milli', CAST(round(avg(confidence) * 1000) AS BIGINT) FROM flagged""",
 )
-def form_coverage(spark, sf_dir):
-    x = forms.forms(_letters(spark, sf_dir), "letter", "text")
-    found = x.select(F.explode("workflows").alias("w"), F.col("url").isNotNull().alias("has_url"), (F.size("agencies") > 0).alias("has_agency"), F.col("d.days").isNotNull().alias("has_deadline")).withColumn("workflow", F.substring_index("w", ":", 1))
-    return forms.coverage(found, list(forms.WORKFLOWS))
+def form_statistics(spark, sf_dir):
+    return forms.statistics(forms.forms(_letters(spark, sf_dir), "letter", "text"))
+
+
+def _staged(spark, sf_dir, table):
+    return forms.staging(forms.extracted(_letters(spark, sf_dir), "letter", "text"), "letter", "run")[table]
+
+
+_ENTITY = "CASE agencies[1].v " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in forms.AGENCIES.items()) + " END"
+
+
+@query(
+    "form_staging",
+    f"""WITH {_RECORDS} SELECT letter, form_name, lower(regexp_replace(form_name, '[^A-Za-z0-9]+', '_', 'g')) AS form_key, url, method, agencies[1].v AS agency, {_ENTITY} AS agency_entity, jurisdictions[1].v AS jurisdiction, domains[1].v AS primary_domain, workflows[1].v AS primary_workflow,
+  stages[1].v AS primary_stage, days AS deadline_days, unit AS deadline_unit, confidence, status, flags, sha256(text) AS source_hash, text[1:500].trim() AS excerpt FROM flagged""",
+)
+def form_staging(spark, sf_dir):
+    return _staged(spark, sf_dir, "forms").drop("form_id", "run_id", "strategy", "normalized_url", "context_hash")
+
+
+@query("form_staging_agencies", f"""WITH {_RECORDS} SELECT letter, unnest(list_transform(agencies, lambda x: x.v)) AS agency, 0.9::DOUBLE AS confidence FROM flagged""")
+def form_staging_agencies(spark, sf_dir):
+    return _staged(spark, sf_dir, "agencies").select("letter", "agency", "confidence")
+
+
+@query("form_staging_workflows", f"""WITH {_RECORDS}, u AS (SELECT letter, unnest(workflows) AS w FROM flagged) SELECT letter, w.v AS workflow, round(w.c, 6) AS confidence, starts_with(w.v, 'ca_') AS of_state, regexp_replace(w.v, '^ca_', '') AS base_workflow FROM u""")
+def form_staging_workflows(spark, sf_dir):
+    return _staged(spark, sf_dir, "workflows").select("letter", "workflow", F.round("confidence", 6).alias("confidence"), "of_state", "base_workflow")
+
+
+@query("form_staging_deadlines", f"""WITH {_RECORDS} SELECT letter, d AS text, value, unit, days, CAST(CASE WHEN contains(unit, 'business') THEN 0.75 ELSE 0.85 END AS DOUBLE) AS confidence, true AS requires_legal_verification FROM flagged WHERE days IS NOT NULL""")
+def form_staging_deadlines(spark, sf_dir):
+    return _staged(spark, sf_dir, "deadlines").drop("form_id")
+
+
+@query("form_staging_provenance", f"""WITH {_LETTERS} SELECT letter, 'run' AS run_id, sha256(text) AS source_hash, 0 AS start, CAST(length(text) AS INT) AS "end", '{forms.ENGINE}' AS engine, true AS deterministic FROM letters""")
+def form_staging_provenance(spark, sf_dir):
+    return _staged(spark, sf_dir, "provenance").drop("form_id", "context_hash")
+
+
+@query(
+    "form_review_queue",
+    f"""WITH {_RECORDS} SELECT letter, status, flags, confidence, CASE WHEN days <= 30 THEN 'high' WHEN confidence >= 4 AND url IS NOT NULL THEN 'medium' WHEN contains(flags, 'missing_workflow') OR contains(flags, 'missing_agency') THEN 'medium' ELSE 'low' END AS priority, replace(flags, ',', ', ') AS reason FROM flagged WHERE flags <> ''""",
+)
+def form_review_queue(spark, sf_dir):
+    return _staged(spark, sf_dir, "reviews").drop("form_id")
