@@ -33,16 +33,18 @@ def name_index(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def resolve(candidates: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """candidates (candidate_id, expected_type, name, id_kind, id_value) with status, method, entity_id,
-    matches."""
-    ids = identifier_index(entities)
-    names = name_index(entities, aliases)
+    matches. The indexes are brought to one row a key first, so that each candidate meets one row of either
+    and nothing is aggregated by candidate."""
+    types = entities.groupBy("entity_id").agg(F.min("entity_type").alias("entity_type"))
+    own = entities.where("active").select("entity_id", F.lit("canonical").alias("kind"), F.col("entity_id").alias("key"))
+    ids = identifier_index(entities).where("kind <> 'canonical'").unionByName(own).distinct().join(types, "entity_id")
+    ids = ids.groupBy(F.col("kind").alias("id_kind"), F.col("key").alias("_key")).agg(F.count("*").alias("n_id"), F.min(F.struct("entity_id", "entity_type")).alias("_i"))
+    names = name_index(entities, aliases).join(types, "entity_id")
+    names = names.groupBy(F.col("key").alias("_name")).agg(F.count("*").alias("n_name"), F.min(F.struct("entity_id", "entity_type")).alias("_n"), F.max("entity_id").alias("name_last"), F.min("tier").alias("tier"))
     c = candidates.withColumn("_id", identifier_key(F.col("id_kind"), F.col("id_value"))).withColumn("_name", entity_key(squeezed(F.col("name"))))
-    canonical = c.where("id_kind = 'canonical'").join(entities.where("active").select("entity_id", F.col("entity_id").alias("id_value")), "id_value").select("candidate_id", "entity_id")
-    external = c.where("_id is not null").join(ids.select(F.col("kind").alias("id_kind"), F.col("key").alias("_id"), "entity_id"), ["id_kind", "_id"]).select("candidate_id", "entity_id")
-    by_id = canonical.union(external).distinct().groupBy("candidate_id").agg(F.count("*").alias("n_id"), F.min("entity_id").alias("id_entity"))
-    named = c.where("_name is not null").join(names.select(F.col("key").alias("_name"), "entity_id", "tier"), "_name").select("candidate_id", "entity_id", "tier")
-    by_name = named.groupBy("candidate_id").agg(F.count_distinct("entity_id").alias("n_name"), F.min("entity_id").alias("name_entity"), F.max("entity_id").alias("name_last"), F.min("tier").alias("tier"))
-    x = c.join(by_id, "candidate_id", "left").join(by_name, "candidate_id", "left").na.fill(0, ["n_id", "n_name"])
+    c = c.withColumn("_key", F.when(F.col("id_kind") == "canonical", F.col("id_value")).otherwise(F.col("_id")))
+    x = c.join(ids, ["id_kind", "_key"], "left").join(names, "_name", "left").na.fill(0, ["n_id", "n_name"])
+    x = x.withColumn("id_entity", F.col("_i.entity_id")).withColumn("name_entity", F.col("_n.entity_id"))
     other = (F.col("n_name") > 0) & ((F.col("name_entity") != F.col("id_entity")) | (F.col("name_last") != F.col("id_entity")))
     method = (
         F.when((F.col("n_id") == 1) & other, "identifier_name_conflict")
@@ -55,7 +57,8 @@ def resolve(candidates: DataFrame, entities: DataFrame, aliases: DataFrame) -> D
     )
     x = x.withColumn("method", method)
     found = F.when(F.col("method").startswith("exact_"), F.when(F.col("n_id") == 1, F.col("id_entity")).otherwise(F.col("name_entity")))
-    x = x.withColumn("entity_id", found).join(entities.select("entity_id", "entity_type"), "entity_id", "left")
+    kind = F.when(F.col("n_id") == 1, F.col("_i.entity_type")).otherwise(F.col("_n.entity_type"))
+    x = x.withColumn("entity_id", found).withColumn("entity_type", kind)
     fits = (F.col("expected_type") == "any") | (F.col("entity_type") == F.col("expected_type")) | ((F.col("expected_type") == "organization") & F.col("entity_type").isin(*ORGANIZATIONS))
     wrong = F.col("entity_id").isNotNull() & ~F.coalesce(fits, F.lit(False))
     x = x.withColumn("method", F.when(wrong, "exact_match_entity_type_mismatch").otherwise(F.col("method"))).withColumn("entity_id", F.when(~wrong, F.col("entity_id")))

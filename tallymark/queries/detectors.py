@@ -187,7 +187,7 @@ nm AS (SELECT entity_id, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS ke
 names AS (SELECT key, entity_id, min(tier) AS tier FROM nm GROUP BY ALL),
 cand AS (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, CASE WHEN l_linenumber % 2 = 0 THEN 'organization' ELSE 'company' END AS expected_type,
   CASE l_linenumber WHEN 1 THEN 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') WHEN 2 THEN 'supplier no ' || l_suppkey WHEN 3 THEN 'Alias ' || (l_suppkey % 40) WHEN 4 THEN 'nobody' WHEN 5 THEN NULL ELSE 'supplier no ' || (l_suppkey + 1) END AS name,
-  CASE WHEN l_linenumber >= 5 THEN 'ein' END AS id_kind, CASE WHEN l_linenumber >= 5 THEN CAST(100000000 + l_suppkey AS VARCHAR) END AS id_value, l_orderkey, l_linenumber FROM lineitem)"""
+  CASE WHEN l_linenumber >= 5 THEN 'ein' END AS id_kind, CASE WHEN l_linenumber >= 5 THEN CAST(100000000 + l_suppkey AS VARCHAR) END AS id_value, l_orderkey, l_linenumber, row_number() OVER () AS rid FROM lineitem)"""
 
 
 def _entities(spark, sf_dir):
@@ -204,9 +204,9 @@ def _candidates(spark, sf_dir):
     return li.select((F.col("l_orderkey") * 10 + n).alias("candidate_id"), F.when(n % 2 == 0, "organization").otherwise("company").alias("expected_type"), name.alias("name"), F.when(n >= 5, "ein").alias("id_kind"), F.when(n >= 5, (F.lit(100000000) + s).cast("string")).alias("id_value"))
 
 
-_RESOLVED = f"""{_ENT}, bi AS (SELECT candidate_id, count(DISTINCT entity_id) AS n_id, min(entity_id) AS id_entity FROM cand JOIN ent ON id_kind = 'ein' AND id_value = ein AND active GROUP BY ALL),
-bn AS (SELECT candidate_id, count(DISTINCT entity_id) AS n_name, min(entity_id) AS name_entity, max(entity_id) AS name_last, min(tier) AS tier FROM cand JOIN names ON regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') = key GROUP BY ALL),
-j AS (SELECT c.*, coalesce(n_id, 0) AS n_id, id_entity, coalesce(n_name, 0) AS n_name, name_entity, name_last, tier FROM cand c LEFT JOIN bi USING (candidate_id) LEFT JOIN bn USING (candidate_id)),
+_RESOLVED = f"""{_ENT}, bi AS (SELECT rid, count(DISTINCT entity_id) AS n_id, min(entity_id) AS id_entity FROM cand JOIN ent ON id_kind = 'ein' AND id_value = ein AND active GROUP BY ALL),
+bn AS (SELECT rid, count(DISTINCT entity_id) AS n_name, min(entity_id) AS name_entity, max(entity_id) AS name_last, min(tier) AS tier FROM cand JOIN names ON regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') = key GROUP BY ALL),
+j AS (SELECT c.*, coalesce(n_id, 0) AS n_id, id_entity, coalesce(n_name, 0) AS n_name, name_entity, name_last, tier FROM cand c LEFT JOIN bi USING (rid) LEFT JOIN bn USING (rid)),
 m AS (SELECT *, CASE WHEN n_id = 1 AND n_name > 0 AND (name_entity <> id_entity OR name_last <> id_entity) THEN 'identifier_name_conflict' WHEN n_id = 1 THEN 'exact_external_identifier' WHEN n_id > 1 THEN 'duplicate_external_identifier'
   WHEN n_name = 1 THEN ['exact_primary_name', 'exact_name_variant', 'exact_alias'][tier] WHEN n_name > 1 THEN 'duplicate_exact_name' WHEN name IS NULL AND id_kind IS NULL THEN 'no_usable_identity_value' ELSE 'no_exact_match' END AS method FROM j),
 f AS (SELECT m.*, CASE WHEN starts_with(method, 'exact_') THEN CASE WHEN n_id = 1 THEN id_entity ELSE name_entity END END AS found FROM m),
