@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 # --- text ---
 
 

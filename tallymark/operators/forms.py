@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import squeezed, web_address
+from ..functions.columns import let, squeezed, web_address
 from ..tables import joined_hash
 
 # The vocabulary that texts are searched for.
@@ -150,10 +150,15 @@ def windows(spots: DataFrame, key: str, reach: int = 500) -> DataFrame:
     return x.groupBy(key, "_i").agg(F.min("a").alias("start"), F.max("b").alias("end"), F.count("*").alias("n")).drop("_i")
 
 
-def _ordered(found: list[tuple[Column, str, Column]]) -> Column:
-    """(condition, value, confidence) as an array of (value, confidence), surest first, then as listed."""
-    rows = [F.when(has, F.struct((-conf).alias("o"), F.lit(i).alias("i"), F.lit(value).alias("value"), conf.alias("confidence"))) for i, (has, value, conf) in enumerate(found)]
-    return F.transform(F.array_sort(F.array_compact(F.array(*rows))), lambda c: F.struct(c["value"].alias("value"), c["confidence"].alias("confidence")))
+def _rows(counts: list[tuple[str, Column]], confidence, first: int = 0) -> Column:
+    """(value, count) with a count above 0, as an array that sorts by confidence(count), surest first, then as
+    listed. Counts are computed once."""
+    there = F.filter(F.array(*(F.struct(n.alias("n"), F.lit(first + i).alias("i"), F.lit(value).alias("value")) for i, (value, n) in enumerate(counts))), lambda c: c["n"] > 0)
+    return F.transform(there, lambda c: F.struct((-confidence(c["n"])).alias("o"), c["i"].alias("i"), c["value"].alias("value")))
+
+
+def _ordered(rows: Column) -> Column:
+    return F.transform(F.array_sort(rows), lambda c: F.struct(c["value"].alias("value"), (-c["o"]).alias("confidence")))
 
 
 def _hits(low: Column, words) -> Column:
@@ -163,7 +168,7 @@ def _hits(low: Column, words) -> Column:
 
 def candidates(low: Column, lists: dict, base: float, step: float, most: float) -> Column:
     """What has a word in a lower-case text, with a confidence that grows with the words found."""
-    return _ordered([((n := _hits(low, words)) > 0, name, F.least(F.lit(most), base + step * n)) for name, words in lists.items()])
+    return _ordered(_rows([(name, _hits(low, words)) for name, words in lists.items()], lambda n: F.least(F.lit(most), base + step * n)))
 
 
 def domains(low: Column) -> Column:
@@ -177,19 +182,16 @@ def stages(low: Column) -> Column:
 def jurisdictions(text: Column, low: Column) -> Column:
     """By how many of a jurisdiction's patterns match."""
     count = lambda patterns: reduce(lambda a, b: a + b, ((low.contains(word) & text.rlike(p)).cast("int") for p, word in patterns))
-    return _ordered([((n := count(patterns)) > 0, name, F.least(F.lit(0.95), 0.5 + 0.2 * n)) for name, patterns in JURISDICTIONS.items()])
+    return _ordered(_rows([(name, count(patterns)) for name, patterns in JURISDICTIONS.items()], lambda n: F.least(F.lit(0.95), 0.5 + 0.2 * n)))
 
 
 def workflows(low: Column, californian: Column) -> Column:
     """By groups of words that must all occur in a lower-case text; the first such group counts. Where
     ``californian`` holds, each is also one of that state's."""
-    own, state = [], []
-    for name, groups in WORKFLOWS.items():
-        size = F.size(F.get(F.filter(F.array(*(F.array(*map(F.lit, g)) for g in groups)), lambda g: F.forall(g, lambda w: low.contains(w))), F.lit(0)))
-        sure = F.least(F.lit(0.95), 0.65 + 0.1 * size)
-        own.append((size > 0, name, sure))
-        state.append(((size > 0) & californian, f"ca_{name}", F.least(sure + 0.02, F.lit(0.97))))
-    return _ordered(own + state)
+    size = lambda groups: F.coalesce(F.size(F.get(F.filter(F.array(*(F.array(*map(F.lit, g)) for g in groups)), lambda g: F.forall(g, lambda w: low.contains(w))), F.lit(0))), F.lit(0))
+    own = _rows([(name, size(groups)) for name, groups in WORKFLOWS.items()], lambda n: F.least(F.lit(0.95), 0.65 + 0.1 * n))
+    state = lambda rows: F.transform(rows, lambda c: F.struct((-F.least(0.02 - c["o"], F.lit(0.97))).alias("o"), (c["i"] + len(WORKFLOWS)).alias("i"), F.concat(F.lit("ca_"), c["value"]).alias("value")))
+    return let(own, lambda rows: _ordered(F.when(californian, F.concat(rows, state(rows))).otherwise(rows)))
 
 
 def agencies(text: Column, low: Column) -> Column:
@@ -197,8 +199,8 @@ def agencies(text: Column, low: Column) -> Column:
     out = []
     for name, (_, letters, phrases, _) in AGENCIES.items():
         named = [low.contains(w.lower()) & text.rlike(rf"(?i)\b{w}\b") for w in letters] + [low.contains(p.lower()) for p in phrases]
-        out.append((reduce(lambda a, b: a | b, named), name, F.lit(0.9)))
-    return _ordered(out)
+        out.append((name, reduce(lambda a, b: a | b, named).cast("int")))
+    return _ordered(_rows(out, lambda n: F.lit(0.9)))
 
 
 def deadline(text: Column, low: Column | None = None) -> Column:
@@ -206,11 +208,15 @@ def deadline(text: Column, low: Column | None = None) -> Column:
     does."""
     low = F.lower(text) if low is None else low
     got = F.coalesce(*(F.when(low.contains(word), F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit(""))) for p, word in DEADLINES))
-    unit = F.lower(F.regexp_extract(got, f"(?i){_UNIT}", 2))
-    n = F.regexp_extract(got, f"(?i){_UNIT}", 1).try_cast("int")
-    days = n * F.when(unit.contains("day"), 1).when(unit.startswith("week"), 7).when(unit.startswith("month"), 30).when(unit.startswith("year"), 365).otherwise(1)
-    one = F.struct(got.alias("text"), n.alias("value"), unit.alias("unit"), days.alias("days"), F.when(unit.contains("business"), 0.75).otherwise(0.85).alias("confidence"))
-    return F.when(got.isNotNull(), one)
+
+    def said(found):
+        unit = F.lower(F.regexp_extract(found, f"(?i){_UNIT}", 2))
+        n = F.regexp_extract(found, f"(?i){_UNIT}", 1).try_cast("int")
+        days = n * F.when(unit.contains("day"), 1).when(unit.startswith("week"), 7).when(unit.startswith("month"), 30).when(unit.startswith("year"), 365).otherwise(1)
+        one = F.struct(found.alias("text"), n.alias("value"), unit.alias("unit"), days.alias("days"), F.when(unit.contains("business"), 0.75).otherwise(0.85).alias("confidence"))
+        return F.when(found.isNotNull(), one)
+
+    return let(got, said)
 
 
 def method(text: Column, low: Column) -> Column:
@@ -232,7 +238,7 @@ def form_name(text: Column) -> Column:
     beside = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.slice(lines, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))).alias("before")))
     label = F.transform(F.filter(beside, lambda b: b["line"].rlike(word)), lambda b: F.get(F.filter(b["before"], lambda p: p.rlike("^[A-Z]") & (F.length(p) > 5) & (F.length(p) < 100)), F.lit(0)))
     label = F.get(F.array_compact(label), F.lit(0))
-    pair = lambda c, how: F.when(c.isNotNull(), F.struct(squeezed(c).alias("name"), F.lit(how).alias("strategy")))
+    pair = lambda c, how: let(c, lambda x: F.when(x.isNotNull(), F.struct(squeezed(x).alias("name"), F.lit(how).alias("strategy"))))
     return F.coalesce(pair(explicit, "explicit_form_heading"), F.when(text.contains("\n"), F.coalesce(pair(near, "heading_near_url"), pair(label, "label_before_action"))))
 
 
