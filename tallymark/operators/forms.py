@@ -263,6 +263,13 @@ def forms(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     return x.withColumn("status", status).withColumn("flags", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items()))), ","))
 
 
+def text_sources(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """source, id, text of tables (frame, id column, text column) that forms are looked for in; empty texts are
+    left out."""
+    parts = [df.select(F.lit(name).alias("source"), F.col(i).cast("string").alias("id"), F.col(t).cast("string").alias("text")) for name, (df, i, t) in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).where(squeezed(F.col("text")).isNotNull())
+
+
 KEY = ("normalized_url", "form_key", "agency", "workflow", "stage")
 
 

@@ -87,3 +87,21 @@ def replay(receipt: Receipt, manifest: Manifest, compute: Callable[[], object])
 
 def stored_equal(a, b) -> bool:
     return canonical(a) == canonical(b)
+
+
+class AcceptanceError(RuntimeError):
+    pass
+
+
+def accept(manifest: Manifest, compute: Callable[[], object], persist: Callable[[Receipt, object], str]) -> dict:
+    """Runs, persists and replays; a summary if both the writing and the replay succeed, else an error. persist:
+    gives written or unchanged."""
+    output = compute()
+    receipt = issue(manifest, output)
+    status = persist(receipt, output)
+    if status not in ("written", "unchanged"):
+        raise AcceptanceError(f"nothing was persisted: {status}")
+    again = replay(receipt, manifest, compute)
+    if not again.ok:
+        raise AcceptanceError("the replay differs in its " + ("output" if again.same_manifest else "manifest"))
+    return {"run_key": run_key(manifest), "receipt": receipt.identity, "output": receipt.output, "persistence": status, "replay_consistent": True}

@@ -291,3 +291,26 @@ def form_staging_provenance(spark, sf_dir):
 )
 def form_review_queue(spark, sf_dir):
     return _staged(spark, sf_dir, "reviews").drop("form_id")
+
+
+@query(
+    "form_text_sources",
+    """SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, length(text) AS n FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), length(html) FROM pages WHERE trim(regexp_replace(html, '\\s+', ' ', 'g')) <> ''
+UNION ALL SELECT 'conversations', conv_id || '-' || turn, length(text) FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""",
+)
+def form_text_sources(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    x = forms.text_sources({"documents": (read(spark, sf_dir, "documents"), "doc_id", "text"), "pages": (read(spark, sf_dir, "pages"), "page_id", "html"), "conversations": (c, "id", "text")})
+    return x.select("source", "id", F.length("text").cast("long").alias("n"))
+
+
+@query(
+    "backfilled_forms",
+    f"""WITH c AS (SELECT conv_id || '-' || turn AS id, text, lower(text) AS low FROM conversations WHERE trim(text) <> ''), x AS (SELECT id, len(list_filter([{', '.join(f"'{w}'" for w in forms.DOMAINS['legal'])}], lambda w: contains(low, w))) AS n FROM c)
+SELECT id, n > 0 AS legal FROM x""",
+)
+def backfilled_forms(spark, sf_dir):
+    """Form records of whole texts of a source, without the blocks of context."""
+    c = read(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    x = forms.forms(forms.text_sources({"conversations": (c, "id", "text")}), "id", "text")
+    return x.select("id", F.exists("domains", lambda d: d["value"] == "legal").alias("legal"))
