@@ -7,9 +7,13 @@ windows has collided often enough and is verified by its exact cosine. Windows w
 vector as near as the k-th found would have been verified with probability ``SURE``; a query for which
 that never happens ends with windows over everything, which is a full search.
 
-Rows are dealt to blocks of about ``BLOCK`` vectors. The task of a block sorts its arrays and streams the
-stated queries past them from the shared folder, so neither side is gathered or sent to the driver; each
-block yields at most k rows a query and these meet by query id.
+Rows are dealt to blocks of about ``BLOCK`` vectors that lie near each other: up to ``ANCHORS`` rows, chosen by a
+hash of their ids, are the anchors of cells, each row belongs to the cell of its nearest anchor, small cells share
+a block and large ones are dealt over several by hash. The task of a block sorts its arrays and streams the
+stated queries past them from the shared folder, so neither side is gathered or sent to the driver. A query
+knows its k-th best cosine among the anchors; a block all of whose vectors are farther than that, by the
+triangle inequality of angles over its cells, is passed over without loss, so that in data with clusters the
+work does not grow with queries times blocks. Each block yields at most k rows a query and these meet by query id.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 as queries or candidates; vectors of other lengths than the query's are no candidates of it; ties go to
@@ -29,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import opened_fs, scratch, shipped, table
+from .common import opened_fs, scratch, shipped, stored, table
 
 PROJECTIONS, MIN_SHARE, GROWTH, SURE = 24, 0.6, 1.5, 0.97
 BLOCK = 16_384
+ANCHORS, PER_BLOCK = 4096, 16  #: anchors at most, and for each block
 START = 0.12  #: half of the first windows, for vectors of length 1
 K, EVERY = 5, 50
 HALVES = np.append(START * GROWTH ** np.arange(12), np.inf)  #: of the windows
@@ -107,41 +112,147 @@ def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 FOUND = "query_id long, vec_id long, score double"
+Anchors = dict[int, tuple[np.ndarray, np.ndarray]]  #: by length: ids, and vectors of length 1
+
+
+def by_length(ids: pa.Array, vecs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """length, places, ids and vectors of the rows of each length."""
+    size = np.diff(vecs.offsets.to_numpy())
+    flat, at = vecs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+    for d in np.unique(size):
+        own = np.nonzero(size == d)[0]
+        yield int(d), own, ids.to_numpy()[own], flat[at[own][:, None] + np.arange(d)]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def anchors_of(rows: DataFrame, count: int) -> Anchors:
+    """``count`` rows, the same ones each time; never more than ANCHORS come to the driver."""
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(min(count, ANCHORS)).collect()
+    out: dict[int, list] = {}
+    for r in got:
+        out.setdefault(len(r.vec), []).append((r.id, r.vec))
+    return {d: (np.array([i for i, _ in rs]), _unit(np.array([v for _, v in rs], np.float64))) for d, rs in out.items()}
+
+
+def with_cells(rows: DataFrame, anchors: Anchors) -> DataFrame:
+    """rows with ``cell``, the place of the nearest anchor of their length; -1 where there is none."""
+    shared = rows.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = dict(zip(shared.value, np.cumsum([0, *(len(i) for i, _ in shared.value.values())]).tolist()))
+        for batch in batches:
+            cell = np.full(batch.num_rows, -1, np.int64)
+            for d, own, _, x in by_length(batch.column(0), batch.column(1)):
+                if d in shared.value:
+                    cell[own] = first[d] + (_unit(x) @ shared.value[d][1].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["id", "vec", "cell"])
+
+    return rows.mapInArrow(run, "id long, vec array<double>, cell long")
+
+
+def with_bounds(queries: DataFrame, anchors: Anchors, k: int) -> DataFrame:
+    """queries with ``least``: their k-th best cosine among anchors, which the k-th best of all is not below; -2
+    where there are fewer."""
+    shared = queries.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.full(batch.num_rows, -2.0)
+            for d, own, ids, x in by_length(batch.column(0), batch.column(1)):
+                if d in shared.value and len(shared.value[d][0]) > k:
+                    s = _unit(x) @ shared.value[d][1].T
+                    s[ids[:, None] == shared.value[d][0]] = -2.0
+                    least[own] = np.partition(s, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], ["id", "vec", "least"])
+
+    return queries.mapInArrow(run, "id long, vec array<double>, least double")
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows (id, vec, cell) with ``block``. Cells are counted, at most ANCHORS of them, and laid one after another."""
+    counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    plan, at, held = [], 0, 0
+    for cell, n in counts:
+        if held and held + n > block:
+            at, held = at + 1, 0
+        parts = max(1, -(-n // block))
+        plan.append((cell, at, parts))
+        at, held = (at + parts - 1, n - (parts - 1) * block)
+    spark = rows.sparkSession
+    where = spark.createDataFrame(plan, "cell long, first long, parts long")
+    return rows.join(F.broadcast(where), "cell").select("id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of vectors for each row of queries."""
     spark = shipped(vectors.sparkSession)
-    path = scratch(spark, "queries")
-    valid(queries, id_col, vec_col).dropDuplicates(["id"]).write.parquet(path)
     rows = valid(vectors, id_col, vec_col)
     blocks = max(1, -(-rows.count() // block))
+    anchors = anchors_of(rows, PER_BLOCK * blocks) if blocks > 1 else {}
+    path = scratch(spark, "queries")
+    with_bounds(valid(queries, id_col, vec_col).dropDuplicates(["id"]), anchors, k).write.parquet(path)
+    shared = spark.sparkContext.broadcast(anchors)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            vec = batch.column(1)
-            size = np.diff(vec.offsets.to_numpy())
-            flat = vec.flatten().to_numpy(zero_copy_only=False)
-            ids, at = batch.column(0).to_numpy(), np.concatenate([[0], np.cumsum(size)])
-            for d in np.unique(size):
-                own = np.nonzero(size == d)[0]
-                parts.setdefault(int(d), []).append((ids[own], flat[at[own][:, None] + np.arange(d)]))
-        index = {d: CollisionIndex(np.concatenate([p[0] for p in ps]), np.concatenate([p[1] for p in ps])) for d, ps in parts.items()}
-        if not index:
-            return
+    def of_block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Searches one block for all queries that it may hold a result of."""
+        parts = pa.Table.from_batches(held).combine_chunks()
+        cell = parts.column(2).to_numpy()
+        index, near = {}, {}
+        first = 0
+        starts = {}
+        for d, (ids, _) in shared.value.items():
+            starts[d], first = first, first + len(ids)
+        for d, own, ids, x in by_length(parts.column(0).chunk(0), parts.column(1).chunk(0)):
+            index[d] = CollisionIndex(ids, x)
+            if d in shared.value:  # the widest angle of each cell's vectors in this block
+                cells, back = np.unique(cell[own], return_inverse=True)
+                a = shared.value[d][1][cells - starts[d]]
+                angle = np.arccos(np.clip((_unit(x) * a[back]).sum(axis=1), -1, 1))
+                wide = np.zeros(len(cells))
+                np.maximum.at(wide, back, angle)
+                near[d] = (a, wide)
         fs, root = opened_fs(path)
         for batch in pads.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=1024):
             out: list[tuple] = []
-            for qid, q in zip(batch.column("id").to_pylist(), batch.column("vec")):
-                q = np.asarray(q.values, np.float64)
-                if len(q) in index:
-                    ids, scores = index[len(q)].search(qid, q, k)
-                    out += [(qid, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            least = batch.column("least").to_numpy()
+            for d, own, ids, q in by_length(batch.column("id"), batch.column("vec")):
+                if d not in index:
+                    continue
+                may = np.ones(len(own), bool)
+                if d in near:
+                    a, wide = near[d]
+                    apart = np.arccos(np.clip(_unit(q) @ a.T, -1, 1)) - wide
+                    may = np.cos(np.clip(apart.min(axis=1), 0, np.pi)) >= least[own] - 1e-9
+                for i in np.nonzero(may)[0]:
+                    found, scores = index[d].search(int(ids[i]), q[i], k)
+                    out += [(int(ids[i]), v, s) for v, s in zip(found.tolist(), scores.tolist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = rows.repartition(blocks).mapInArrow(search, FOUND)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            key = batch.column(3).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and key[a] != now:
+                    yield from of_block(held)
+                    held = []
+                now = key[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from of_block(held)
+
+    if blocks > 1:
+        rows = dealt(stored(with_cells(rows, anchors), "cells"), block)
+    else:
+        rows = rows.select("id", "vec", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
+    found = rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(search, FOUND)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -68,6 +68,31 @@ def test_equal_vectors_tie_by_id_wherever_they_lie():
         assert got.tolist() == sorted(ids[at].tolist())[:5] and len(set(scores.tolist())) == 1
 
 
+def test_blocks_are_passed_over_without_loss(spark):
+    """Clusters, a hot vector and vectors of another length, in many small blocks."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 16)) * 5
+    x = centres[r.integers(0, 12, 1500)] + 0.2 * r.normal(size=(1500, 16))
+    x[200:700] = x[200]
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(5000 + i, v) for i, v in enumerate(r.normal(size=(20, 5)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.nearest(df, df.where("vec_id % 50 = 0"), block=100).orderBy("query_id", "rank").collect():
+        got.setdefault(g.query_id, []).append((g.vec_id, g.score))
+    by_id = dict(rows)
+    hits = n = 0
+    for q in [i for i, _ in rows if i % 50 == 0]:
+        v = np.array(by_id[q])
+        same = [(i, np.array(w)) for i, w in rows if i != q and len(w) == len(v)]
+        best = sorted((-float((w * v).sum() / (np.sqrt((w * w).sum()) * np.sqrt((v * v).sum()))), i) for i, w in same)[:5]
+        assert len(got[q]) == 5
+        hits += len({i for i, _ in got[q]} & {i for _, i in best})
+        n += 5
+        if 200 <= q < 700:  # ties go to the smaller ids, whichever blocks hold them
+            assert [i for i, _ in got[q]] == [i for i in range(200, 706) if i != q][:5]
+    assert hits / n > 0.95
+
+
 def test_nearest_of_vectors_beside_other_columns(spark):
     rows = [(i, [float(i % 7), 1.0], 1, 0.5, "x") for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, id string")
