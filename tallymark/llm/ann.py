@@ -171,8 +171,9 @@ def with_bounds(queries: DataFrame, anchors: Anchors, k: int) -> DataFrame:
     return queries.mapInArrow(run, "id long, vec array<double>, least double")
 
 
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """rows (id, vec, cell) with ``block``. Cells are counted, at most ANCHORS of them, and laid one after another."""
+def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """rows (id, vec, cell) with ``block``, and how many blocks there are. Cells are counted, at most ANCHORS of them,
+    and laid one after another."""
     counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())
     plan, at, held = [], 0, 0
     for cell, n in counts:
@@ -183,7 +184,7 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
         at, held = (at + parts - 1, n - (parts - 1) * block)
     spark = rows.sparkSession
     where = spark.createDataFrame(plan, "cell long, first long, parts long")
-    return rows.join(F.broadcast(where), "cell").select("id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    return rows.join(F.broadcast(where), "cell").select("id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), at + 1
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
@@ -249,10 +250,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
             yield from of_block(held)
 
     if blocks > 1:
-        rows = dealt(stored(with_cells(rows, anchors), "cells"), block)
+        rows, blocks = dealt(stored(with_cells(rows, anchors), "cells"), block)
     else:
         rows = rows.select("id", "vec", F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("block"))
-    found = rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(search, FOUND)
+    # a task a block: hashing would give some tasks several and others none
+    found = rows.repartitionById(blocks, F.pmod("block", F.lit(blocks)).cast("int")).sortWithinPartitions("block").mapInArrow(search, FOUND)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
