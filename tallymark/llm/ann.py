@@ -179,9 +179,10 @@ def dealt(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
     for cell, n in counts:
         if held and held + n > block:
             at, held = at + 1, 0
-        parts = max(1, -(-n // block))
+        parts = -(-n // block)
         plan.append((cell, at, parts))
-        at, held = (at + parts - 1, n - (parts - 1) * block)
+        # parts are dealt by hash, so a cell of several fills its blocks
+        at, held = (at, held + n) if parts == 1 else (at + parts - 1, block)
     spark = rows.sparkSession
     where = spark.createDataFrame(plan, "cell long, first long, parts long")
     return rows.join(F.broadcast(where), "cell").select("id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), at + 1

@@ -76,6 +76,10 @@ def test_blocks_are_passed_over_without_loss(spark):
     x[200:700] = x[200]
     rows = [(i, v) for i, v in enumerate(x.tolist())] + [(5000 + i, v) for i, v in enumerate(r.normal(size=(20, 5)).tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = ann.valid(df, "vec_id", "embedding")
+    laid, blocks = ann.dealt(ann.with_cells(good, ann.anchors_of(good, 16 * 16)), 100)
+    sizes = [g["count"] for g in laid.groupBy("block").count().collect()]
+    assert sum(sizes) == 1520 and 16 <= len(sizes) <= blocks <= 40 and max(sizes) < 150
     got = {}
     for g in ann.nearest(df, df.where("vec_id % 50 = 0"), block=100).orderBy("query_id", "rank").collect():
         got.setdefault(g.query_id, []).append((g.vec_id, g.score))
