@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, first_text, geography_key, squeezed
+from ..functions.columns import clamp, first_text, geography_key, let, squeezed
 from ..tables import joined_hash
 
 # Where fields are found in a delivered event, in order of preference.
@@ -117,26 +117,31 @@ def action_receipts(actions: DataFrame) -> DataFrame:
 
 def entity_candidates(events: DataFrame, rules: dict[str, list[dict]], event: str = "event") -> DataFrame:
     """A row for each entity an event names. rules: stream -> list of role, type, names, ids (kind ->
-    paths), many (path of an array of names). events: stream_id, offset, event (JSON). Streams without a
-    rule give one row of role ignored."""
+    paths), many (path of an array of names). events: stream_id, offset, event (JSON). Events that no rule finds
+    anything in give one row of role ignored. All rules run in one pass over the events."""
+    none = F.lit(None).cast("string")
+    fields = ("role", "expected_type", "place", "name", "id_kind", "id_value")
+    row = lambda *values: F.struct(*(v.alias(n) for n, v in zip(fields, values)))
     made = []
     for stream, own in rules.items():
-        here = events.where(F.col("stream_id") == stream)
+        here = F.col("stream_id") == stream
         for r in own:
-            ids = [(k, at(event, *paths)) for k, paths in r.get("ids", {}).items()]
-            kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-            for k, v in reversed(ids):
+            kind = value = none
+            for k, paths in reversed(r.get("ids", {}).items()):
+                v = at(event, *paths)
                 kind, value = F.when(v.isNotNull(), F.lit(k)).otherwise(kind), F.coalesce(v, value)
-            one = here.select("stream_id", "offset", F.lit(r["role"]).alias("role"), F.lit(r["type"]).alias("expected_type"), F.lit(0).alias("place"), at(event, *r["names"]).alias("name"), kind.alias("id_kind"), value.alias("id_value"))
-            made.append(one.where("name is not null or id_value is not null"))
+            role, kinds = F.lit(r["role"]), F.lit(r["type"])
+            made.append(F.when(here, F.array(row(role, kinds, F.lit(0), at(event, *r["names"]), kind, value))))
             if r.get("many"):
                 listed = F.from_json(F.get_json_object(event, f"$.{r['many']}"), "array<string>")
-                many = here.select("stream_id", "offset", F.posexplode(listed).alias("place", "name"))
-                made.append(many.select("stream_id", "offset", F.lit(r["role"]).alias("role"), F.lit(r["type"]).alias("expected_type"), (F.col("place") + 1).alias("place"), squeezed(F.col("name")).alias("name"), F.lit(None).cast("string").alias("id_kind"), F.lit(None).cast("string").alias("id_value")).where("name is not null"))
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    out = out.dropDuplicates(["stream_id", "offset", "role", "name", "id_value"])
-    rest = events.join(out.select("stream_id", "offset").distinct(), ["stream_id", "offset"], "left_anti")
-    nothing = rest.select("stream_id", "offset", F.lit("ignored").alias("role"), F.lit("any").alias("expected_type"), F.lit(0).alias("place"), *(F.lit(None).cast("string").alias(c) for c in ("name", "id_kind", "id_value")))
-    return out.unionByName(nothing)
+                made.append(F.when(here, F.transform(listed, lambda n, i: row(role, kinds, i + 1, squeezed(n), none, none))))
+    key = lambda x: F.concat_ws(chr(31), x["role"], F.coalesce(x["name"], F.lit(chr(0))), F.coalesce(x["id_value"], F.lit(chr(0))))
+    nothing = F.array(row(F.lit("ignored"), F.lit("any"), F.lit(0), none, none, none))
+
+    def once(found: Column) -> Column:
+        """The first of each, or the one row that says there is none."""
+        first = let(F.transform(found, key), lambda keys: F.filter(found, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+        return F.when(F.size(found) > 0, first).otherwise(nothing)
+
+    named = F.filter(F.flatten(F.array_compact(F.array(*made))), lambda x: x["name"].isNotNull() | x["id_value"].isNotNull())
+    return events.select("stream_id", "offset", F.inline(let(named, once)))
