@@ -62,3 +62,17 @@ def applicable(stream_id: str, signal_type: str, rules: tuple[Rule, ...] = RULES
     """The rules for events of a stream and type: its own, else the general ones."""
     fits = [r for r in rules if r.stream_id == stream_id and ("*" in r.signal_types or signal_type in r.signal_types)]
     return fits or [r for r in rules if r.stream_id == "*" and r.transform != IGNORED] or [r for r in rules if r.transform == IGNORED]
+
+
+def extraction(rules: tuple[Rule, ...] = RULES) -> dict[str, list[dict]]:
+    """The rules of named streams in the form that entity candidates are extracted by. An identifier field
+    belongs to the kind that its name ends in, or to the rule's only kind."""
+    out: dict[str, list[dict]] = {}
+    for r in rules:
+        if r.stream_id == "*":
+            continue
+        ids = {kind: tuple(p for p in r.ids if len(r.id_kinds) == 1 or p.endswith(kind)) for kind in r.id_kinds}
+        lists = [n.removesuffix("[*]") for n in r.names if n.endswith("[*]")]
+        own = {"role": r.entity_role, "type": r.expected_type, "names": tuple(n for n in r.names if not n.endswith("[*]")), "ids": ids}
+        out.setdefault(r.stream_id, []).append(own | ({"many": lists[0]} if lists else {}))
+    return out

@@ -155,3 +155,19 @@ def test_forms_of_long_texts_come_by_blocks_of_context(spark):
     assert x[0].start == 0 and x[0].d.days == 10 and [a.value for a in x[0].agencies] == ["EDD"] and x[1].end == len(text)
     name = spark.createDataFrame([("Housing Help Desk\nWhere to go\nSee www.example.org today",), ("Tenant Help\nplease apply soon",), ("nothing",)], "t string").select(forms.form_name(F.col("t")).alias("n")).collect()
     assert [r.n and tuple(r.n) for r in name] == [("Housing Help Desk", "heading_near_url"), ("Tenant Help", "label_before_action"), None]
+
+
+def test_all_rules_extract_in_one_pass(spark):
+    from tallymark.operators import intake
+
+    events = [
+        ("cfpb_complaints", 1, {"payload": {"company": " Big  Bank "}}), ("cfpb_complaints", 2, {"payload": {}}), ("open_states", 1, {"payload": {"sponsor": "A. One", "sponsors": ["A. One", "B. Two", " ", None]}}),
+        ("usa_spending", 1, {"payload": {"recipient": "R", "uei": "U1", "duns": "D1", "agency": "GSA"}}), ("usa_spending", 2, {"payload": {"duns": "D2"}}), ("unheard", 1, {"payload": {"company": "x"}}),
+    ]
+    rows = spark.createDataFrame([(s, o, json.dumps(e)) for s, o, e in events], "stream_id string, offset long, event string")
+    got = intake.entity_candidates(rows, rules.extraction())
+    assert got.columns == ["stream_id", "offset", "role", "expected_type", "place", "name", "id_kind", "id_value"]
+    assert sorted((r.stream_id, r.offset, r.role, r.name or "", r.id_kind or "", r.id_value or "") for r in got.collect()) == sorted([
+        ("cfpb_complaints", 1, "complained_against_entity", "Big Bank", "", ""), ("cfpb_complaints", 2, "ignored", "", "", ""), ("open_states", 1, "legislative_sponsor", "A. One", "", ""), ("open_states", 1, "legislative_sponsor", "B. Two", "", ""),
+        ("usa_spending", 1, "award_recipient", "R", "uei", "U1"), ("usa_spending", 1, "awarding_agency", "GSA", "", ""), ("usa_spending", 2, "award_recipient", "", "duns", "D2"), ("unheard", 1, "ignored", "", "", "")])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
