@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,26 +10,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint_dir
+
 #: ASCII white space: what separates words in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Only where that is unset and everything runs on one machine, as in tests, a temporary folder is
-    made and set; on a cluster its absence is an error, as executors would write to their own disks."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        at = Path(tempfile.mkdtemp(prefix="tallymark-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+#: the folder that driver and executors share, read from the session
+shared_dir = checkpoint_dir
 
 
 def scratch(spark: SparkSession, what: str) -> str:
