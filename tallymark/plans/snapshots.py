@@ -134,9 +134,9 @@ def version_order(v: dict) -> tuple:
     return (v.get("stage_order") or 0, v.get("version_sequence") or 0, str(v.get("bill_version_id")))
 
 
-def legislative_rows(s: dict) -> list[dict]:
+def legislative_rows(s: dict, run_field: str = "extraction_run_id") -> list[dict]:
     """A row for each version of the one bill in a checked snapshot, with how many traits its extraction run
-    made: family, jurisdiction, version, place, processing state, run, traits."""
+    made: family, jurisdiction, version, place, processing state, run, traits. run_field: where a version names its run."""
     bills = [c for c in s["components"] if c["component_type"] == "bill"]
     _need(len(bills) == 1, "exactly_one_bill_required")
     value = bills[0]["value"] or {}
@@ -153,6 +153,6 @@ def legislative_rows(s: dict) -> list[dict]:
     out = []
     for i, v in enumerate(versions, 1):
         _need(bool(v.get("bill_version_id")) and bool(v.get("processing_state")), "version_incomplete")
-        run = v.get("rosetta_extraction_run_id")
+        run = v.get(run_field)
         out.append({"family_id": s["scope"]["scope_ids"][0], "jurisdiction_id": codes[0], "version_id": v["bill_version_id"], "place": i, "processing_state": v["processing_state"], "run_id": run, "traits": made.get(run, 0) if run else 0})
     return out

@@ -80,7 +80,7 @@ CONTRACT = ("c", "1")
 
 
 def snapshot(**more):
-    versions = [{"bill_version_id": "v1", "stage_order": 1, "processing_state": "done", "rosetta_extraction_run_id": "r"}, {"bill_version_id": "v2", "stage_order": 2, "processing_state": "failed"}]
+    versions = [{"bill_version_id": "v1", "stage_order": 1, "processing_state": "done", "extraction_run_id": "r"}, {"bill_version_id": "v2", "stage_order": 2, "processing_state": "failed"}]
     part = lambda i, kind, value: {"component_id": f"ns:{i}", "component_type": kind, "canonical_record_id": str(i), "inclusion_state": "in", "jurisdiction_code": None, "temporal_scope": None, "value": value, "source_bindings": [{"b": 2}, {"a": 1}], "source_verification": ["x"], "unresolved_conditions": []}
     parts = [part(1, "bill", {"bill_versions": versions, "bill_version_manifest": {"version_count": 2, "manifest_hash": digest(versions)}}), part(2, "trait", {"extraction_run_id": "r"}), part(3, "trait", {"extraction_run_id": "q"})]
     for c in parts:
