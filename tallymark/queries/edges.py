@@ -50,13 +50,13 @@ def described_shares(spark, sf_dir):
     "joint_similarities",
     """WITH x AS (SELECT a.c_custkey AS a, b.s_suppkey AS b, a.c_custkey * 1000 AS t1, b.s_suppkey * 60000 AS t2, 40 + a.c_nationkey AS y1, -100 + a.c_nationkey AS x1, CASE WHEN b.s_suppkey % 4 <> 0 THEN 41.5 + b.s_nationkey END AS y2, -99.0 + b.s_nationkey AS x2 FROM customer a JOIN supplier b ON b.s_nationkey = a.c_nationkey),
 s AS (SELECT *, least(greatest(1 - abs(t2 - t1) / 3600000.0::DOUBLE, 0), 1) AS t, 2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h)) AS d FROM (SELECT *, pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2) AS h FROM x))
-SELECT a, b, round(t, 9) AS temporal, round(exp(-(d * d) / (2 * 150.0 * 150.0)), 9) AS spatial, round(t * exp(-(d * d) / (2 * 150.0 * 150.0)), 9) AS joint FROM s""",
+SELECT a, b, round(t, 6) AS temporal, round(exp(-(d * d) / (2 * 150.0 * 150.0)), 6) AS spatial, round(t * exp(-(d * d) / (2 * 150.0 * 150.0)), 6) AS joint FROM s""",
 )
 def joint_similarities(spark, sf_dir):
     a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 1000).alias("t1"), (40 + F.col("c_nationkey")).cast("double").alias("y1"), (-100 + F.col("c_nationkey")).cast("double").alias("x1"))
     b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 60000).alias("t2"), F.when(F.col("s_suppkey") % 4 != 0, 41.5 + F.col("s_nationkey")).alias("y2"), (-99.0 + F.col("s_nationkey")).alias("x2"))
     j = checks.joint_similarity(F.col("t1"), F.col("t2"), (F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), 3_600_000, 150.0)
-    return a.join(b, "nation").select("a", "b", j.alias("j")).select("a", "b", *(F.round(f"j.{c}", 9).alias(c) for c in ("temporal", "spatial", "joint")))
+    return a.join(b, "nation").select("a", "b", j.alias("j")).select("a", "b", *(F.round(f"j.{c}", 6).alias(c) for c in ("temporal", "spatial", "joint")))
 
 
 @query(
