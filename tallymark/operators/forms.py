@@ -290,14 +290,13 @@ def extracted(texts: DataFrame, key: str, text_col: str, reach: int = 500) -> Da
 
 def deduplicated(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """One form for each composite key: the surest (then the smallest ``tie``), with everyone's candidates
-    and how many there were."""
-    w = W.partitionBy(*keys).orderBy(F.desc("confidence"), tie)
+    and how many there were. One aggregation, so that rows are computed and dealt once."""
     lists = [c for c in ("domains", "workflows", "agencies", "jurisdictions", "stages") if c in rows.columns]
-    best = rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i", *lists)
+    others = [c for c in rows.columns if c not in (*keys, *lists)]
+    order = F.struct(F.col("confidence").isNull(), -F.col("confidence"), F.col(tie))
     everyone = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    each = rows.groupBy(*keys).agg(F.count("*").alias("group_size"), *map(everyone, lists))
-    on = reduce(lambda a, b: a & b, (F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys))
-    return best.alias("b").join(each.alias("e"), on).select("b.*", "e.group_size", *(f"e.{c}" for c in lists))
+    x = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("__best"), F.count("*").alias("group_size"), *map(everyone, lists))
+    return x.select(*(F.col(c) if c in keys else F.col(f"__best.{c}") for c in rows.columns if c not in lists), "group_size", *lists)
 
 
 def review_priority(days: Column, confidence: Column, url: Column, flags: Column) -> Column:
