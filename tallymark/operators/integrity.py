@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import comparable
+from ..functions.columns import comparable, let
 from ..tables import DAY_MS
 
 ENDED = ("dead", "dissolved", "revoked", "suspended", "debarred", "terminated", "inactive")
@@ -22,19 +22,37 @@ def weighted_confidence(factors: list[tuple[float, Column]]) -> Column:
     return F.round(got / sum(w for w, _ in factors), 6)
 
 
-def phoenix(entities: DataFrame, identifiers: DataFrame, days: int = 730, shared: int = 2) -> DataFrame:
+def combinations(xs: Column, k: int) -> Column:
+    """All choices of k elements of an array, each in the array's order."""
+    if k == 1:
+        return F.transform(xs, lambda x: F.array(x))
+    return F.flatten(F.transform(xs, lambda x, i: F.transform(combinations(F.slice(xs, i + 2, F.size(xs)), k - 1), lambda c: F.concat(F.array(x), c))))
+
+
+def phoenix(entities: DataFrame, identifiers: DataFrame, days: int = 730, shared: int = 2, many: int = 256) -> DataFrame:
     """Ended entities that go on as another: at least ``shared`` equal identifiers, formed within
-    ``days`` of the end. entities: entity_id, status, formed_ms, ended_ms; identifiers: entity_id, kind,
-    value."""
-    ids = identifiers.where("value is not null").select("entity_id", "kind", "value").distinct()
+    ``days`` of the end. entities: entity_id (unique), status, formed_ms, ended_ms; identifiers: entity_id,
+    kind, value.
+
+    Two entities meet by an identifier of at most ``many`` entities or, where they have only wider ones in
+    common, by ``shared`` of these at once: one wide identifier alone brings no pair together. A pair counts
+    where the keys it meets by are the first that it has in common, so each comes once and none is counted up."""
+    ids = identifiers.where("kind is not null and value is not null").select("entity_id", "kind", "value").distinct()
+    wide = ids.groupBy("kind", "value").agg(F.count("*").alias("n")).where(F.col("n") > many).select("kind", "value", F.lit(True).alias("wide"))
+    item = F.struct(F.coalesce("wide", F.lit(False)).alias("wide"), "kind", "value")
+    held = ids.join(wide, ["kind", "value"], "left").groupBy("entity_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     old = entities.where(F.lower("status").isin(*ENDED) & F.col("ended_ms").isNotNull()).select(F.col("entity_id").alias("predecessor"), "ended_ms")
     new = entities.where("formed_ms is not null").select(F.col("entity_id").alias("successor"), "formed_ms")
-    left = ids.withColumnRenamed("entity_id", "predecessor").join(old, "predecessor")
-    right = ids.withColumnRenamed("entity_id", "successor").join(new, "successor")
+    narrow = F.transform(F.filter("items", lambda x: ~x["wide"]), lambda x: F.array(x))
+    keys = F.explode(F.concat(narrow, combinations(F.filter("items", lambda x: x["wide"]), shared))).alias("key")
+    held = held.where(F.size("items") >= shared)
+    left = held.withColumnRenamed("entity_id", "predecessor").join(old, "predecessor").select("predecessor", "ended_ms", F.col("items").alias("own"), keys)
+    right = held.withColumnRenamed("entity_id", "successor").join(new, "successor").select("successor", "formed_ms", "items", keys)
     gap = F.floor((F.col("formed_ms") - F.col("ended_ms")) / DAY_MS)
     near = (F.col("predecessor") != F.col("successor")) & (F.col("formed_ms") >= F.col("ended_ms")) & (gap <= days)
-    pairs = left.join(right, ["kind", "value"]).where(near).groupBy("predecessor", "successor", gap.cast("long").alias("gap_days")).agg(F.count("*").alias("shared"))
-    x = pairs.where(F.col("shared") >= shared)
+    common = F.array_intersect("own", "items")
+    first = let(common, lambda c: (F.size(c) >= shared) & (F.col("key") == F.slice(c, 1, F.when(c[0]["wide"], shared).otherwise(1))))
+    x = left.join(right, "key").where(near & first).select("predecessor", "successor", gap.cast("long").alias("gap_days"), F.size(common).cast("long").alias("shared"))
     return x.withColumn("confidence", weighted_confidence([(0.65, F.lit(True)), (0.2, F.lit(True)), (0.15, F.col("gap_days") <= 365)])).withColumn("severity", F.lit("high"))
 
 

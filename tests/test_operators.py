@@ -136,6 +136,36 @@ def test_integrity_detectors(spark):
     assert [r.side for r in integrity.out_of_range(n).collect()] == ["above", "below"]
 
 
+def written(spark):
+    """Records that stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("many", [0, 3, 256])
+def test_phoenix_pairs_equal_brute_force(spark, many):
+    day, n = 86_400_000, 60
+    ents = [(f"e{i}", "Dissolved" if i % 3 == 0 else "active", (i * 7 % 50) * day, (i * 11 % 40) * day if i % 3 == 0 else None) for i in range(n)]
+    ids = [(f"e{i}", k, str(i * f % m)) for i in range(n) for k, f, m in (("a", 1, 3), ("b", 1, 5), ("c", 1, 2), ("d", 7, 30))] + [("e1", "a", "1"), ("e2", "d", None), ("e3", None, "x"), ("e6", None, "x")]
+    held = {e: {(k, v) for x, k, v in ids if x == e and k is not None and v is not None} for e, *_ in ents}
+    spark_ents = spark.createDataFrame(ents, "entity_id string, status string, formed_ms long, ended_ms long")
+    spark_ids = spark.createDataFrame(ids, "entity_id string, kind string, value string")
+    for shared in (1, 2, 3):
+        want = {(a, b, (fb - ea) // day, len(held[a] & held[b])) for a, _, _, ea in ents if ea is not None for b, _, fb, _ in ents if a != b and fb >= ea and len(held[a] & held[b]) >= shared}
+        got = [(r.predecessor, r.successor, r.gap_days, r.shared) for r in integrity.phoenix(spark_ents, spark_ids, shared=shared, many=many).collect()]
+        assert want and len(got) == len(want) and set(got) == want
+
+
+def test_one_wide_identifier_brings_no_pairs_together(spark):
+    e = spark.range(2000).selectExpr("concat('e', id) as entity_id", "if(id % 2 = 0, 'dissolved', 'active') as status", "1000L as formed_ms", "if(id % 2 = 0, 0L, null) as ended_ms")
+    ids = spark.range(2000).selectExpr("concat('e', id) as entity_id", "inline(array(named_struct('kind', 'agent', 'value', 'all'), named_struct('kind', 'phone', 'value', string(id div 2))))")
+    before = written(spark)
+    assert integrity.phoenix(e, ids).count() == 1000  # each with the one of its telephone; a million pairs share the agent
+    assert written(spark) - before < 100_000
+
+
 def test_health_of_a_stream(spark):
     rows = [("s", i * 1000, 0.2 if i < 7 else 0.9) for i in range(22)]
     obs = spark.createDataFrame(rows, "stream_id string, ts_ms long, confidence double")
