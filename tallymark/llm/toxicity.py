@@ -5,7 +5,7 @@ its first PREFIX bytes, so that inflected and compound forms share what their st
 widths 1, 2 and 3 slide over whole texts, each takes its maximum, and a logistic unit reads the maxima.
 Embeddings start at zero: a word never seen in training adds nothing.
 
-Training (numpy, on the driver) uses a sample of labelled rows of bounded size (``TRAIN_ROWS`` rows
+Training (numpy, in one task) uses a sample of labelled rows of bounded size (``TRAIN_ROWS`` rows
 of at most ``TRAIN_CHARS`` characters, chosen by a hash of the id; parameters). Four fifths fit the
 weights and the rest calibrates: the threshold that separates best is found for each language, as
 recognised from a text's own function words, and the probability is bent so that this threshold is
@@ -18,6 +18,7 @@ table gives no rows; extra columns are dropped.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -162,6 +163,15 @@ class TextCNN:
         self.tables = ((self.low @ flat).astype(np.float32), (self.high @ flat).astype(np.float32))
         return self
 
+    def weights(self) -> tuple:
+        return self.low, self.high, self.w, self.u, self.c, self.cuts
+
+    @classmethod
+    def of(cls, weights: tuple) -> TextCNN:
+        own = cls()
+        own.low, own.high, own.w, own.u, own.c, own.cuts = weights
+        return own.compiled()
+
     def probability(self, h: np.ndarray) -> float:
         pad = max(WIDTHS)
         best = np.zeros(len(WIDTHS) * FILTERS, np.float32)
@@ -220,8 +230,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
     sample = own.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") <= chars)
-    # one text an id, whatever repeats: at most ``rows`` rows of at most ``chars`` characters come to the driver
-    got = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).collect()
+    # one text an id, whatever repeats: at most ``rows`` rows of at most ``chars`` characters come to the one task that
+    # learns, and only its weights come to the driver
+    shipped(docs.sparkSession)
+    some = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        model = learned(got)
+        yield pa.RecordBatch.from_arrays([pa.array([] if model is None else [pickle.dumps(model.weights())], pa.binary())], ["weights"])
+
+    made = some.select("_id", "_y", "_t").coalesce(1).mapInArrow(learn, "weights binary").collect()
+    return TextCNN.of(pickle.loads(made[0][0])) if made else None
+
+
+def learned(got: list[tuple]) -> TextCNN | None:
+    """A classifier from rows of id, label and text, in whatever order they come."""
     got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
     y = np.array([r[1] for r in got])
     if len(got) < 10 or not 0 < y.mean() < 1:
@@ -246,15 +270,11 @@ def toxicity(docs: DataFrame, model: TextCNN | None, text_col: str, out: str = "
     from pyspark.sql import types as T
 
     spark = shipped(docs.sparkSession)
-    weights = spark.sparkContext.broadcast(None if model is None else (model.low, model.high, model.w, model.u, model.c, model.cuts))
+    weights = spark.sparkContext.broadcast(None if model is None else model.weights())
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        if weights.value is not None:
-            own = TextCNN()
-            own.low, own.high, own.w, own.u, own.c, own.cuts = weights.value
-            own.compiled()
+        own = None if weights.value is None else TextCNN.of(weights.value)
         for batch in batches:
             scores = [own.score(t.as_py()) if own else 0.0 for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])

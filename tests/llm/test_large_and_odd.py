@@ -2,6 +2,7 @@
 
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -160,6 +161,17 @@ def test_toxicity_of_rows_without_ids_and_repeats(spark):
     assert toxicity.toxicity(odd.limit(0).select("doc_id", "text"), model, "text").count() == 0
 
 
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """Texts and gradients stay in the task that learns; the driver only gets the weights."""
+    rows = [(i, ("bad ugly words " if i % 2 else "fine kind words ") * 3 + f"w{i}") for i in range(60)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = toxicity.learned([(i, i % 2, t) for i, t in rows if not held(i)])
+    monkeypatch.setattr(toxicity.TextCNN, "fit", lambda *a, **b: pytest.fail("trained on the driver"))
+    model = toxicity.train(d, labels)
+    assert all(np.array_equal(x, y) for x, y in zip((model.low, model.high, *model.w, model.u, model.cuts), (want.low, want.high, *want.w, want.u, want.cuts)))
+
+
 def test_hot_regions_are_dealt_over_tasks(spark, monkeypatch):
     """Near copies and exact ones of one text fill a region of every tree."""
     r = np.random.default_rng(2)
