@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import clamp, gaussian, half_up, haversine_km
@@ -40,12 +40,40 @@ def temporal_similarity(a_ms: Column, b_ms: Column, most_ms: int) -> Column:
     return clamp(1 - F.abs(b_ms - a_ms) / F.lit(float(most_ms)), 0, 1)
 
 
+def spatial_similarity(a: tuple[Column, Column], b: tuple[Column, Column], sigma_km: float) -> Column:
+    """1 at the same place; null where a centroid is missing."""
+    return gaussian(haversine_km(*a, *b), sigma_km)
+
+
 def joint_similarity(a_ms: Column, b_ms: Column, a: tuple[Column, Column], b: tuple[Column, Column], most_ms: int, sigma_km: float) -> Column:
     """(temporal, spatial, joint), each to 12 places; spatial and joint are null where a centroid is missing."""
-    t, s = temporal_similarity(a_ms, b_ms, most_ms), gaussian(haversine_km(*a, *b), sigma_km)
+    t, s = temporal_similarity(a_ms, b_ms, most_ms), spatial_similarity(a, b, sigma_km)
     return F.struct(half_up(t, 12).alias("temporal"), half_up(s, 12).alias("spatial"), half_up(t * s, 12).alias("joint"))
 
 
+def joint_similarities(a: DataFrame, b: DataFrame, group: str, most_ms: int, sigma_km: float, places: int = 6, salts: int = 32, tasks: int = 256) -> DataFrame:
+    """a, b, temporal, spatial, joint of all pairs within a group, as by ``joint_similarity``, to ``places``. a: a,
+    group, t1, y1, x1; b: b, group, t2, y2, x2.
+
+    The spatial part is computed once for two places, not for each pair that lies there; a pair too far apart in
+    time needs no arithmetic. Rows of b are given to each of ``salts`` parts of a group's rows of a, so a large group is
+    shared by many tasks."""
+    # a place as text: one key, exact, where nulls are equal and so are both zeros
+    spot = lambda *cols: F.concat_ws("/", *(F.when(F.col(c) == 0, "0").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in cols))
+    a, b = a.withColumn("p1", spot("y1", "x1")), b.withColumn("p2", spot("y2", "x2"))
+    own, other = a.dropDuplicates([group, "p1"]).select(group, "p1", "y1", "x1"), b.dropDuplicates([group, "p2"]).select(group, "p2", "y2", "x2")
+    s = spatial_similarity((F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), sigma_km)
+    apart = own.join(other, group).select(group, "p1", "p2", s.alias("s"), F.round(half_up(s, 12), places).alias("spatial"))
+    far = b.join(apart, [group, "p2"]).select(group, "p1", "b", "t2", "s", "spatial", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    near = a.select(group, "p1", "a", "t1", F.pmod(F.xxhash64("a", "t1"), F.lit(salts)).cast("int").alias("salt"))
+    at = [group, "p1", "salt"]
+    pairs = near.repartition(tasks, *at).join(far.repartition(tasks, *at), at)
+    t = temporal_similarity(F.col("t1"), F.col("t2"), most_ms)
+    late = F.abs(F.col("t2") - F.col("t1")) >= most_ms
+    to = lambda x: F.round(half_up(x, 12), places)
+    return pairs.select("a", "b", F.when(late, F.lit(0.0)).otherwise(to(t)).alias("temporal"), "spatial", F.when(F.col("s").isNull(), F.lit(None).cast("double")).when(late, F.lit(0.0)).otherwise(to(t * F.col("s"))).alias("joint"))
+
+
 def window_error(start: Column, end: Column, as_of: Column) -> Column:
     """Why a window of written times is none: a bound is missing or no time, or they are out of order; null if
     nothing is wrong."""

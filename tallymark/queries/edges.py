@@ -55,8 +55,7 @@ SELECT a, b, round(t, 6) AS temporal, round(exp(-(d * d) / (2 * 150.0 * 150.0)),
 def joint_similarities(spark, sf_dir):
     a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 1000).alias("t1"), (40 + F.col("c_nationkey")).cast("double").alias("y1"), (-100 + F.col("c_nationkey")).cast("double").alias("x1"))
     b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 60000).alias("t2"), F.when(F.col("s_suppkey") % 4 != 0, 41.5 + F.col("s_nationkey")).alias("y2"), (-99.0 + F.col("s_nationkey")).alias("x2"))
-    j = checks.joint_similarity(F.col("t1"), F.col("t2"), (F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), 3_600_000, 150.0)
-    return a.join(b, "nation").select("a", "b", j.alias("j")).select("a", "b", *(F.round(f"j.{c}", 6).alias(c) for c in ("temporal", "spatial", "joint")))
+    return checks.joint_similarities(a, b, "nation", 3_600_000, 150.0)
 
 
 @query(

@@ -5,8 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.functions import checks
 from tallymark.functions import columns as c
 from tallymark.operators import convergence, currentness, entities, forms, graph, health, identity, integrity, population, readmodels
+from tallymark.queries import edges
 from tallymark.tables import DAY_MS
 
 
@@ -166,6 +168,32 @@ def test_one_wide_identifier_brings_no_pairs_together(spark):
     assert written(spark) - before < 100_000
 
 
+def test_joint_similarities_of_one_large_group(spark, tmp_path):
+    """One group is shared by many tasks; every pair is there, by the plain formula."""
+    spark.range(1, 301).selectExpr("id as c_custkey", "3 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 41).selectExpr("id as s_suppkey", "3 as s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = edges.joint_similarities(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    got = df.collect()
+    y1, x1, y2, x2 = (math.radians(v) for v in (43, -97, 44.5, -96))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    s = math.exp(-((2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))) ** 2) / (2 * 150.0 * 150.0))
+    assert len(got) == 12_000 and len({(r.a, r.b) for r in got}) == 12_000
+    for r in got:
+        t = max(0.0, 1 - abs(r.b * 60000 - r.a * 1000) / 3_600_000)
+        assert abs(r.temporal - t) < 1e-6
+        assert (r.spatial, r.joint) == (None, None) if r.b % 4 == 0 else abs(r.spatial - s) < 1e-6 and abs(r.joint - t * s) < 1e-6
+    assert len({r.task for r in got}) > 8
+
+
+def test_joint_similarities_with_missing_parts(spark):
+    """Nulls and both zeros as the formula of one pair has them."""
+    a = spark.createDataFrame([(1, "g", 0, 0.0, 1.0), (2, "g", None, -0.0, 1.0), (3, "g", 500, None, 1.0), (4, None, 0, 0.0, 1.0)], "a long, g string, t1 long, y1 double, x1 double")
+    b = spark.createDataFrame([(1, "g", 100, 0.5, 1.5), (2, "g", 5000, -0.0, 1.0), (3, "g", 0, None, None), (4, "h", 0, 0.0, 1.0)], "b long, g string, t2 long, y2 double, x2 double")
+    j = checks.joint_similarity(F.col("t1"), F.col("t2"), (F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), 1000, 150.0)
+    want = a.join(b, "g").select("a", "b", j.alias("j")).select("a", "b", *(F.round(f"j.{c}", 6).alias(c) for c in ("temporal", "spatial", "joint")))
+    assert sorted(map(str, checks.joint_similarities(a, b, "g", 1000, 150.0).collect())) == sorted(map(str, want.collect())) != []
+
+
 def test_health_of_a_stream(spark):
     rows = [("s", i * 1000, 0.2 if i < 7 else 0.9) for i in range(22)]
     obs = spark.createDataFrame(rows, "stream_id string, ts_ms long, confidence double")
