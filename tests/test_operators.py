@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import checks
 from tallymark.functions import columns as c
-from tallymark.operators import convergence, currentness, entities, forms, graph, health, identity, integrity, population, readmodels
+from tallymark.operators import convergence, currentness, entities, forms, graph, health, identity, integrity, ledgers, population, readmodels
 from tallymark.queries import edges
+from tallymark.registry import QUERIES
 from tallymark.tables import DAY_MS
 
 
@@ -168,6 +169,16 @@ def test_one_wide_identifier_brings_no_pairs_together(spark):
     assert written(spark) - before < 100_000
 
 
+def test_traits_become_text_once_a_run(spark, sf):
+    """Texts of runs are made below the join with versions, and are equal to those of the arrays."""
+    plan = QUERIES["traits_of_versions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join LeftOuter") < plan.index("array_join")
+    v = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "version_key long, run_id long")
+    t = spark.createDataFrame([(12, 7), (9, 7), (5, 6), (4, None), (9, 7)], "trait_id long, run_id long")
+    assert {r.version_key: r.traits for r in ledgers.traits_by_run(v, t, ",").collect()} == {1: "9,9,12", 2: "9,9,12", 3: "", 4: ""}
+    assert {r.version_key: r.traits for r in ledgers.traits_by_run(v, t).collect()} == {1: [9, 9, 12], 2: [9, 9, 12], 3: [], 4: []}
+
+
 def test_joint_similarities_of_one_large_group(spark, tmp_path):
     """One group is shared by many tasks; every pair is there, by the plain formula."""
     spark.range(1, 301).selectExpr("id as c_custkey", "3 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
