@@ -179,6 +179,19 @@ def test_traits_become_text_once_a_run(spark, sf):
     assert {r.version_key: r.traits for r in ledgers.traits_by_run(v, t).collect()} == {1: [9, 9, 12], 2: [9, 9, 12], 3: [], 4: []}
 
 
+def test_a_long_text_of_many_versions_is_written_once(spark, tmp_path):
+    """A run's text of 1.6 MB is kept once for its 40 versions, by settings that the caller's session does not get."""
+    spark.range(200_000).selectExpr("1000000 + id as l_orderkey", "int(1) as l_linenumber", "101 as l_suppkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(41).selectExpr("if(id = 40, 2, 1 + 60 * id) as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    was = spark.conf.get("parquet.dictionary.page.size", None), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    QUERIES["traits_of_versions"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert was == (spark.conf.get("parquet.dictionary.page.size", None), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4_000_000
+    text = ",".join(str(10 * (1_000_000 + i) + 1) for i in range(200_000))
+    got = {r.version_key: r.traits for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1 + 60 * i: text for i in range(40)} | {2: ""}
+
+
 def test_joint_similarities_of_one_large_group(spark, tmp_path):
     """One group is shared by many tasks; every pair is there, by the plain formula."""
     spark.range(1, 301).selectExpr("id as c_custkey", "3 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
